@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -12,13 +13,19 @@ from tidemark.llm.queries_packing import op5_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.01"
-ODD = ["", " ", "a  b\n c\td", "x\x1cy z", "<|endoftext|> a<|startoftext|>b", "é é á ́b", "don't 's  'll", "日本語 ١٢٣ a　b\xa0c", "​q ﻿ w", "A\r\nB \n\n C   "]
+ODD = ["", " ", "a  b\n c\td", "x\x1cy z", "<|endoftext|> a<|startoftext|>b", "é é á ́b", "don't 's  'll", "日本語 ١٢٣ a　b\xa0c", "​q ﻿ w", "A\r\nB \n\n C   ", "Éa, Öß. µ, ŒŁ, İI ΑΣ. don't. a., x.. ª."]
 
 
-def library(path, texts):
+@functools.cache
+def tokenizer(path):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    return t
+
+
+def library(path, texts):
+    t = tokenizer(path)
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 

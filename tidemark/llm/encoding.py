@@ -3,25 +3,57 @@
 Both public BPE files split a text before any blank that follows a non-blank, whatever else stands around (the
 pre-tokenisers let a word take blanks only from its left, or drop them). So the text may be cut at all such places,
 each piece encoded on its own by the library, and the ids joined: the same ids as for the whole text. Pieces repeat a
-lot in real text, so they are remembered, in a bounded table. Texts with the control characters U+001C to U+001F, on
-which blank classes of the two libraries differ, go to the tokenizer as a whole.
+lot in real text, so they are remembered, in a bounded table of two generations. A piece that is one run of letters is
+one pre-token and goes straight to the library's model; one that ends in a comma or full stop after a letter is two, and so is one that starts with a line end before one.
+Texts with the control characters U+001C to U+001F, on which blank classes of the two libraries differ, go to the
+tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 _PIECE = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
-MEMO = 250_000
-LONG = 64
+MEMO = 300_000
+LONG = 48
 
 _cache: dict[str, Encoder] = {}
 
 
+def _stand_ins() -> dict[int, int]:
+    """Byte -> its printable stand-in of byte-level vocabularies: printable Latin-1 stands for itself, the rest is moved to U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    moved = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(moved)}
+
+
+class _Memo(dict):
+    """Piece -> ids. When full, the table becomes the old generation, from which pieces in use move back."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            if piece[-1] in ".," and piece[-2:-1].isalpha():
+                got = self[piece[:-1]] + self[piece[-1]]
+            elif piece[0] == "\n" and piece[1:2].isalpha():
+                got = self["\n"] + self[piece[1:]]
+            else:
+                got = self.encode(piece)
+        if len(piece) <= LONG:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoder:
     """``encode_all(texts)``: for each text, its ids as little-endian unsigned 32-bit bytes."""
 
@@ -32,7 +64,12 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.model = self.lib.model
+        self.chars = _stand_ins()
+        # Does the tokenizer drop blanks and case, or keep both?
+        same = lambda a, b: self.lib.encode(a, add_special_tokens=False).ids == self.lib.encode(b, add_special_tokens=False).ids
+        self.folds = same("Word  One", "word one") and same(" a\nb ", "a b")
+        self.memo = _Memo(self.piece)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -41,20 +78,39 @@ class Encoder:
         return _cache[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        word = piece[1:] if piece[0] == " " else piece
+        if not word.isalpha() or len(word) > LONG or (self.folds and not _latin(word)):
+            return self.whole(piece)
+        if self.folds:
+            word = word.lower()
+        elif piece[0] == " ":
+            word = piece
+        if not word.isascii() or word[0] == " ":
+            word = word.encode().decode("latin-1").translate(self.chars)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        memo = self.memo
-        new = list(set().union(*(p for p in cut if p)).difference(memo))
-        if new:
-            for piece, enc in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[piece] = np.array(enc.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        out = [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
-        for piece in new:
-            if len(piece) > LONG:
-                del memo[piece]
+        get = self.memo.__getitem__
+        out = []
+        for t in texts:
+            if _ODD.search(t):
+                out.append(self.whole(t))
+            elif self.folds:
+                out.append(b"".join(map(get, (t.lower() if _latin(t) else t).split())))
+            else:
+                out.append(b"".join(map(get, _PIECE.findall(t))))
         return out
+
+
+def _latin(text: str) -> bool:
+    """Only characters up to U+00FF: lower case of each is one character, and nothing composes."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
