@@ -30,29 +30,56 @@ def _stand_ins() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(moved)}
 
 
+class _Whole(Exception):
+    """A word that says something about its surroundings: blanks in a row, or odd ones. It is never remembered."""
+
+
 class _Memo(dict):
-    """Piece -> ids. When full, the table becomes the old generation, from which pieces in use move back."""
+    """Word, after ``prefix``, -> ids. When full, the table becomes the old generation, from which words in use move back."""
 
-    def __init__(self, encode):
+    def __init__(self, enc: Encoder, prefix: str):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.enc, self.prefix, self.old = enc, prefix, {}
+        self.lead = prefix.translate(enc.chars)
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self.old.get(piece)
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
         if got is None:
-            if piece[-1] in ".," and piece[-2:-1].isalpha():
-                got = self[piece[:-1]] + self[piece[-1]]
-            elif piece[0] == "\n" and piece[1:2].isalpha():
-                got = self["\n"] + self[piece[1:]]
-            else:
-                got = self.encode(piece)
-        if len(piece) <= LONG:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = got
+            if not word or (self.prefix and word[0].isspace()):
+                raise _Whole
+            got = self._encode(word)
+            if got is None:
+                return self._join(word)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
         return got
 
+    def _encode(self, word: str) -> bytes | None:
+        enc = self.enc
+        if len(word) > LONG:
+            if _ODD.search(word):
+                raise _Whole
+            return None
+        if word.isalpha() and (not enc.folds or _latin(word)):
+            word = word.lower() if enc.folds else word
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(enc.chars)
+            return array("I", [t.id for t in enc.model.tokenize(self.lead + word)]).tobytes()
+        if word[-1:] in (",", ".") and word[-2:-1].isalpha():
+            return self[word[:-1]] + enc.bare[word[-1]]
+        if _ODD.search(word):
+            raise _Whole
+        return None if "\n" in word else enc.whole(self.prefix + word)
+
+    def _join(self, word: str) -> bytes:
+        """Words that aren't remembered: long ones, and those around a line end, which are cut there."""
+        head, line, tail = word.partition("\n")
+        if line and (head or not self.prefix) and not head[-1:].isspace() and tail and not tail[0].isspace():
+            return (self[head] if head else b"") + self.enc.line + self.enc.bare[tail]
+        return self.enc.whole(self.prefix + word)
+
 
 class Encoder:
     """``encode_all(texts)``: for each text, its ids as little-endian unsigned 32-bit bytes."""
@@ -67,9 +94,10 @@ class Encoder:
         self.model = self.lib.model
         self.chars = _stand_ins()
         # Does the tokenizer drop blanks and case, or keep both?
-        same = lambda a, b: self.lib.encode(a, add_special_tokens=False).ids == self.lib.encode(b, add_special_tokens=False).ids
+        same = lambda a, b: self.whole(a) == self.whole(b)
         self.folds = same("Word  One", "word one") and same(" a\nb ", "a b")
-        self.memo = _Memo(self.piece)
+        self.line = self.whole("\n")
+        self.bare, self.spaced = _Memo(self, ""), _Memo(self, " ")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -80,29 +108,23 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        word = piece[1:] if piece[0] == " " else piece
-        if not word.isalpha() or len(word) > LONG or (self.folds and not _latin(word)):
-            return self.whole(piece)
-        if self.folds:
-            word = word.lower()
-        elif piece[0] == " ":
-            word = piece
-        if not word.isascii() or word[0] == " ":
-            word = word.encode().decode("latin-1").translate(self.chars)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        get = self.memo.__getitem__
-        out = []
-        for t in texts:
-            if _ODD.search(t):
-                out.append(self.whole(t))
-            elif self.folds:
-                out.append(b"".join(map(get, (t.lower() if _latin(t) else t).split())))
-            else:
-                out.append(b"".join(map(get, _PIECE.findall(t))))
-        return out
+        return [self.encode(t) for t in texts]
+
+    def encode(self, text: str) -> bytes:
+        if self.folds:
+            # Blanks are dropped, so they must be looked for.
+            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+                return self.whole(text)
+            return b"".join(map(self.bare.__getitem__, (text.lower() if _latin(text) else text).split()))
+        try:
+            # Each space stands before a word, and is the word's.
+            first, *rest = text.split(" ")
+            return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+        except _Whole:
+            if _ODD.search(text):
+                return self.whole(text)
+            return b"".join(map(self.bare.__getitem__, _PIECE.findall(text)))
 
 
 def _latin(text: str) -> bool:

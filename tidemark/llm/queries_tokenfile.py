@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.batches import table
@@ -14,12 +13,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shards = write_token_files(docs, token_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
-    def digest(batches):
-        for b in batches:
-            crc = pa.array(map(crc32_of, b.column(3).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(spark, shards).mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_token_files(spark, shards, digest=crc32_of).withColumnRenamed("digest", "ids_crc32")
 
 
 QUERIES = {"op6_token_files": op6_token_files}

@@ -21,7 +21,7 @@ import io
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +45,7 @@ _NULL_ID = -(1 << 63)
 
 
 class TokenFileWriter:
-    def __init__(self, out, level: int = 3, frame_bytes: int = FRAME_BYTES):
+    def __init__(self, out, level: int = 1, frame_bytes: int = FRAME_BYTES):
         self.out, self.frame_bytes = out, frame_bytes
         self.z = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.frames: list[tuple[int, int, int]] = []
@@ -182,9 +182,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     return shards
 
 
-def read_token_files(spark, shards: Sequence[Shard], wanted: Sequence[int] | None = None) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary), one task a shard; ``wanted`` picks ids."""
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
+def read_token_files(spark, shards: Sequence[Shard], wanted: Sequence[int] | None = None, digest: Callable[[bytes], int] | None = None) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary), one task a shard; ``wanted`` picks ids.
+
+    With ``digest``, a function of a document's id bytes, its number stands in for ``ids``, so that the ids themselves
+    needn't leave the task.
+    """
+    schema = "doc_id bigint, start bigint, n_tokens bigint, " + ("ids binary" if digest is None else "digest bigint")
     if not shards:
         return spark.createDataFrame([], schema)
 
@@ -201,7 +205,7 @@ def read_token_files(spark, shards: Sequence[Shard], wanted: Sequence[int] | Non
                     for i in rows:
                         ids = t.ids(i)
                         d = int(t.doc_id[i])
-                        part.append((None if d == _NULL_ID else d, int(starts[i]), int(t.n[i]), ids))
+                        part.append((None if d == _NULL_ID else d, int(starts[i]), int(t.n[i]), ids if digest is None else digest(ids)))
                         held += len(ids)
                         if held > 4 << 20 or len(part) == 4096:
                             yield _table(part)
@@ -211,7 +215,7 @@ def read_token_files(spark, shards: Sequence[Shard], wanted: Sequence[int] | Non
 
     def _table(part):
         c = list(zip(*part, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary() if digest is None else pa.int64())], names=["doc_id", "start", "n_tokens", "ids" if digest is None else "digest"])
 
     where = spark.createDataFrame([(s.path, s.first) for s in shards], "path string, first bigint").repartition(len(shards))
     return where.mapInArrow(run, schema)
