@@ -83,4 +83,4 @@ def test_learned_insults(spark):
 
 def test_scorer_with_one_class():
     s = Scorer.fit([np.array([1, 2])], np.array([0.9]), 18, 1)
-    assert s.score([], {}) > 0.5
+    assert s.score([]) > 0.5

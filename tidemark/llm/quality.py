@@ -19,9 +19,13 @@ by ``quality_filter`` and ignored elsewhere.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -36,7 +40,8 @@ from tidemark.llm.batches import sliced, texts_of
 ABSTAIN, BAD, GOOD = 0, 1, 2
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[!?]{2,}|([#$%&*~^=+<>\\|])\1+")
-_SYMBOLS = re.compile(r"[|#$%&*<>{}\[\]\\^~=]")
+_PAIRS = ("!!", "??", "!?", "?!", *(2 * c for c in "#$%&*~^=+<>\\|"))
+SYMBOLS = "|#$%&*<>{}[]\\^~="
 #: Fixed lists of insults; the toxicity labellers use overlapping parts of them.
 INSULTS_A = frozenset("idiot moron stupid dumb fool imbecile clown loser trash scum garbage pathetic".split())
 INSULTS_B = frozenset("loser trash scum pathetic worthless disgusting filth vermin freak creep jerk moron".split())
@@ -62,20 +67,20 @@ class Shape:
     marks: float
 
     @classmethod
-    def of(cls, text: str) -> Shape:
+    def of(cls, text: str, words: list[str] | None = None) -> Shape:
+        """``words``: all runs of letters, if at hand."""
         tokens = text.split()
         n = len(tokens)
         if not n:
             return cls(0, 0, 1, 0, 0, 1, 0, 0)
         counts = Counter(tokens)
-        solid = sum(map(len, tokens))
-        run = best = 1
-        for a, b in zip(tokens, tokens[1:], strict=False):
-            run = run + 1 if a == b else 1
-            best = max(best, run)
-        letters = sum(len(w) for w in _WORD.findall(text))
-        capitals = sum(t.isupper() and len(t) > 1 for t in tokens)
-        return cls(n, len(_SYMBOLS.findall(text)) / solid, letters / solid, max(counts.values()) / n, best, len(counts) / n, capitals / n, len(_MARKS.findall(text)) / n)
+        solid = len("".join(tokens))
+        again = list(map(eq, tokens, islice(tokens, 1, None)))
+        run = 1 + max((len(list(g)) for same, g in groupby(again) if same), default=0) if any(again) else 1
+        letters = len("".join(_WORD.findall(text) if words is None else words))
+        symbols = sum(map(text.count, SYMBOLS))
+        marks = len(_MARKS.findall(text)) if any(map(text.__contains__, _PAIRS)) else 0
+        return cls(n, symbols / solid, letters / solid, max(counts.values()) / n, run, len(counts) / n, sum(map(str.isupper, tokens)) / n, marks / n)
 
 
 def quality_votes(s: Shape) -> list[int]:
@@ -234,11 +239,33 @@ def bucket(feature: str, bits: int) -> int:
 
 def features_of(text: str, lists: Lists) -> tuple[list[str], list[int], list[int]]:
     """Features, quality votes and toxicity votes of a text."""
-    s, words = Shape.of(text), words_of(text)
+    found = _WORD.findall(text)
+    s, words = Shape.of(text, found), set(map(str.lower, set(found)))
     q, t = quality_votes(s), toxic_votes(words, lists)
     return [*words, *shape_features(s), *vote_features(q, t)], q, t
 
 
+def votes_for(text: str, lists: Lists) -> tuple[list[int], list[int]]:
+    found = _WORD.findall(text)
+    return quality_votes(Shape.of(text, found)), toxic_votes(set(map(str.lower, set(found))), lists)
+
+
+class Weights(dict):
+    """Feature -> weights in both scorers, remembered up to a bound."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.bits, self.good, self.clean = model.good.bits, model.good.weights, model.clean.weights
+
+    def __missing__(self, feature: str) -> complex:
+        b = bucket(feature, self.bits)
+        # Two sums at once: the real part is quality, the imaginary one toxicity.
+        got = complex(self.good.get(b, 0.0), self.clean.get(b, 0.0))
+        if len(self) < 300_000:
+            self[feature] = got
+        return got
+
+
 @dataclass
 class Scorer:
     """Sum of the weights of a text's features, through the logistic function."""
@@ -273,16 +300,15 @@ class Scorer:
             w -= rate * g / np.sqrt(h)
             bias -= rate * gb / np.sqrt(hb)
         used = np.unique(code)
-        return cls(bits, float(bias), {int(known[i]): float(w[i]) for i in used})
+        # Multiples of 2^-20 add up to the same sum in any order.
+        return cls(bits, float(bias), {int(known[i]): round(float(w[i]) * (1 << 20)) / (1 << 20) for i in used})
+
+    def score(self, features) -> float:
+        return logistic(self.bias + sum(self.weights.get(bucket(f, self.bits), 0.0) for f in features))
+
 
-    def score(self, features, memo: dict[str, float]) -> float:
-        z, bits, weights = self.bias, self.bits, self.weights
-        for f in features:
-            x = memo.get(f)
-            if x is None:
-                x = memo[f] = weights.get(bucket(f, bits), 0.0)
-            z += x
-        return 1 / (1 + float(np.exp(-max(-50.0, min(50.0, z)))))
+def logistic(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 @dataclass
@@ -301,7 +327,7 @@ def fit(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None
 
     @F.pandas_udf("struct<q:int,t:int>")
     def votes(col: pd.Series) -> pd.DataFrame:
-        rows = [(pattern(quality_votes(Shape.of(x or ""))), pattern(toxic_votes(words_of(x or ""), lists))) for x in col]
+        rows = [(pattern(q), pattern(t)) for q, t in (votes_for(x or "", lists) for x in col)]
         return pd.DataFrame(rows, columns=["q", "t"])
 
     voted = docs.select(votes(F.col(text_col)).alias("v"))
@@ -331,26 +357,23 @@ def fit(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None
     return Model(qm, tm, Scorer.fit(feats, q, bits, min_df), Scorer.fit(feats, t, bits, min_df), lists)
 
 
-def score_text(model: Model, text: str, memo: tuple[dict, dict]) -> tuple[float, float]:
+def score_text(model: Model, text: str, weights: Weights) -> tuple[float, float]:
+    """Probabilities of good quality and of no toxicity."""
     if not text.strip():
         return model.quality.prior, model.toxicity.prior
-    f = features_of(text, model.lists)[0]
-    return model.good.score(f, memo[0]), model.clean.score(f, memo[1])
+    z = sum(map(weights.__getitem__, features_of(text, model.lists)[0]), 0j)
+    return logistic(model.good.bias + z.real), logistic(model.clean.bias + z.imag)
 
 
 def scores(model: Model, text: Column) -> Column:
     """struct(quality, toxicity): probabilities."""
 
     @F.pandas_udf("struct<quality:double,toxicity:double>")
-    def run(col: pd.Series) -> pd.DataFrame:
-        memo: tuple[dict, dict] = ({}, {})
-        rows = []
-        for x in col:
-            good, clean = score_text(model, x or "", memo)
-            rows.append((good, 1 - clean))
-            if len(memo[0]) > 300_000:
-                memo = ({}, {})
-        return pd.DataFrame(rows, columns=["quality", "toxicity"])
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        weights = Weights(model)
+        for col in it:
+            rows = [score_text(model, x or "", weights) for x in col]
+            yield pd.DataFrame([(a, 1 - b) for a, b in rows], columns=["quality", "toxicity"])
 
     return run(text)
 
