@@ -132,7 +132,7 @@ def test_probabilities_add_up(spark, tmp_path):
     pairs = Counter((id_of[x], id_of[y]) for t in ("abac", "ab", "cca") for x, y in zip("^" + t, t + "$", strict=True))
     h, w = (np.array(c) for c in zip(*sorted(pairs), strict=True))
     arrays = view(dump(shard_trie(h, w, np.array([pairs[p] for p in sorted(pairs)]), voc, cfg)))
-    for context in range(v + 2):
+    for context in set(range(v + 2)) - {id_of["$"]}:  # nothing follows an end
         words = np.array([*range(v), v + 1])
         p = 10 ** pair_scores(np.full(v + 1, context), words, arrays, voc, cfg)
         assert abs(p.sum() - 1) < 1e-9
