@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,34 +45,45 @@ def local_runs(df: DataFrame, runs: int, keys: Sequence[str], tie: Sequence[str]
 
 def runs_by_key(df: DataFrame, key: str, runs: int, tie: Sequence[str]) -> DataFrame:
     """Deterministic runs: ``run_id`` = key mod ``runs``, ``rank`` inside the run."""
-    from pyspark.sql import Window
-
     order = _orders([key, *tie], ())
     out = df.withColumn("run_id", F.pmod(F.col(key), F.lit(runs)).cast("bigint"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("bigint"))
 
 
-def with_position(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None = None, descending: Sequence[str] = (), name: str = "pos") -> DataFrame:
-    """Add the 1-based global position in sort order, without a single-partition window.
+def with_prefix(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None = None, descending: Sequence[str] = (), name: str = "pos", sums: dict[str, str] | None = None) -> DataFrame:
+    """Add the 1-based global position in sort order and running sums of long columns, without a single-partition window.
 
     Pass 1 sorts into range partitions and stores each row with its partition and place in it, in the shared
     checkpoint folder (so a lost executor costs nothing and both passes see the same partitions). Pass 2 adds to each
-    place the number of rows of all earlier partitions: one number per partition goes to the driver.
+    place, and to each running sum inside a partition, the totals of all earlier partitions: one row per partition
+    goes to the driver and comes back as a broadcast of as many rows.
+
+    ``sums`` maps the name of a running sum to its column.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sums = sums or {}
     mid = F.monotonically_increasing_id()
     placed = global_sort(df, keys, tie, descending).withColumn("__part", F.shiftright(mid, 33)).withColumn("__at", mid.bitwiseAND((1 << 33) - 1))
     placed = placed.checkpoint(eager=True)
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
-    bases, total = {}, 0
-    for r in counts:
-        bases[r["__part"]] = total
-        total += r["n"]
-    if len(bases) <= 1:
-        base = F.lit(0)
-    else:
-        base = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for kv in bases.items() for x in kv]), F.col("__part"))
-    return placed.withColumn(name, (F.col("__at") + base + 1).cast("bigint")).drop("__part", "__at")
+    totals = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"s{i}") for i, c in enumerate(sums.values())]).orderBy("__part").collect()
+    bases, run = [], [0] * (1 + len(sums))
+    for r in totals:
+        bases.append((r["__part"], *run))
+        run = [x + y for x, y in zip(run, r[1:], strict=True)]
+    names = ["__base", *(f"__base{i}" for i in range(len(sums)))]
+    base = spark.createDataFrame(bases, "__part bigint, " + ", ".join(f"{n} bigint" for n in names))
+    out = placed.join(F.broadcast(base), "__part")
+    out = out.withColumn(name, F.col("__at") + F.col("__base") + 1)
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    for i, (to, c) in enumerate(sums.items()):
+        out = out.withColumn(to, (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__base{i}")).cast("bigint"))
+    return out.drop("__part", "__at", *names)
+
+
+def with_position(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None = None, descending: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """Add the 1-based global position in sort order (see :func:`with_prefix`)."""
+    return with_prefix(df, keys, tie, descending, name)
 
 
 def top_k(df: DataFrame, k: int, keys: Sequence[str], tie: Sequence[str] | None = None, descending: Sequence[str] = ()) -> DataFrame:

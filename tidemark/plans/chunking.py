@@ -10,10 +10,10 @@ import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.sort import with_position
+from tidemark.operators.sort import with_position, with_prefix
 
 MIB = 1 << 20
 GIB = 1 << 30
@@ -178,21 +178,9 @@ def even_split(df: DataFrame, chunks: int, keys: Sequence[str], tie: Sequence[st
     return placed.withColumn("chunk_id", chunk.cast("bigint"))
 
 
-def running_bytes(df: DataFrame, keys: Sequence[str], size: Column, buckets: int = 1024) -> DataFrame:
-    """Cumulative bytes in key order, in two levels: inside blocks of consecutive rows, plus the sum of earlier blocks.
-
-    A block holds a fixed number of rows; its total is one row, and the running sum over block totals is the only
-    ordered step over all of them.
-    """
-    placed = with_position(df, keys).withColumn("size", size.cast("bigint"))
-    block = F.floor((F.col("pos") - 1) / buckets).cast("bigint")
-    placed = placed.withColumn("__block", block)
-    inside = F.sum("size").over(Window.partitionBy("__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    totals = placed.groupBy("__block").agg(F.sum("size").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("__block", before.alias("__base"))
-    out = placed.withColumn("__in", inside).join(bases, "__block")
-    return out.withColumn("running_bytes", (F.col("__in") + F.col("__base")).cast("bigint")).drop("__block", "__in", "__base")
+def running_bytes(df: DataFrame, keys: Sequence[str], size: Column) -> DataFrame:
+    """Cumulative bytes in key order, as partition sums plus a running sum inside each partition."""
+    return with_prefix(df.withColumn("size", size.cast("bigint")), keys, sums={"running_bytes": "size"})
 
 
 def round_robin(pos: Column, workers: int) -> Column:
