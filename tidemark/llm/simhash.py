@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = nodes.join(member.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     of = nodes.join(linked.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp", "left")
-    of = of.select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Stored, so that the join below stands on plain exchanges, of which a hot fingerprint's can be split at run time.
+    of = of.select("fp", F.coalesce("component_id", "low").alias("component_id")).checkpoint()
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
