@@ -160,13 +160,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = 3) -> DataFrame:
+def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = 3, stored: bool = False) -> DataFrame:
     """One document of each group stays: the row of the smallest id (the first such row, if rows repeat). Same columns.
 
-    Rows are told apart by their place in the input (file split and row), so repeated ids lose no group. Only keys and
-    fingerprints are shuffled to find the groups; then the keys of dropped rows are taken out of the input.
+    Rows are told apart by their place in the input (partition and row), so repeated ids lose no group. Only keys and
+    fingerprints are shuffled to find the groups; then the keys of dropped rows are taken out of the input. The places
+    must be the same in both passes, so the input is stored first; ``stored`` says that it is a plain scan of stored
+    files already, whose splits are the same each time.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    keyed = keyed if stored else keyed.checkpoint()
     ranked = near_duplicates(keyed.withColumn("__key", F.struct(F.col(id_col), F.col("__row"))), "__key", text_col, distance, words=words)
     dropped = ranked.filter("doc_id <> component_id").select(F.col("doc_id.__row").alias("__row"))
     return keyed.join(dropped, "__row", "left_anti").select(*docs.columns)
