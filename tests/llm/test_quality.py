@@ -71,10 +71,12 @@ def test_cases(spark):
 
 
 def test_learned_insults(spark):
-    rows = [(i, f"plain words number {i % 17} here " + ("zorgle" if i % 5 == 0 else "pleasant")) for i in range(200)]
+    near = lambda i: chr(97 + i % 17) * 3
+    rows = [(i, f"plain words {near(i)} " + ("zorgle" if i % 5 == 0 else "pleasant") + f" {near(i // 3)}") for i in range(200)]
+    rows += [(1000 + i, "one bad passage with a copied word" + " 7" * i) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
-    assert learned_insults(docs, labels, "doc_id", "text") == ["zorgle"]
+    labels = docs.select("doc_id", ((F.col("doc_id") % 5 == 0) | (F.col("doc_id") >= 1000)).cast("int").alias("toxic"))
+    assert learned_insults(docs, labels, "doc_id", "text") == ["zorgle"]  # "passage" is in forty toxic texts, in one context
     assert learned_insults(docs, labels.limit(0), "doc_id", "text") == []
     assert association(np.array([5.0]), np.array([0.0]), 100, 100)[0] < 24
     model = fit(docs, labels=labels)

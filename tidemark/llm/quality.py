@@ -131,16 +131,26 @@ def learned_insults(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__toxic", "__text")
 
     def run(batches):
-        seen: dict[str, list[int]] = {}
+        clean: Counter = Counter()
         for b in sliced(batches, 1):
+            found, around = [], []
             for toxic, text in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
-                for w in (*words_of(text), ""):
-                    seen.setdefault(w, [0, 0])[1 if toxic else 0] += 1
-        if seen:
-            clean, bad = zip(*seen.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(bad, pa.int64()), pa.array(clean, pa.int64())], names=["w", "bad", "clean"])
-
-    counts = texts.mapInArrow(run, "w string, bad bigint, clean bigint").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+                if not toxic:
+                    clean.update((*words_of(text), ""))
+                    continue
+                words = list(map(str.lower, _WORD.findall(text)))
+                uses = {w: f"{x} {y}" for x, w, y in zip(["", *words], words, [*words[1:], ""], strict=False)}
+                uses[""] = text
+                found += uses.keys()
+                around += [xxhash.xxh64_intdigest(c) >> 1 for c in uses.values()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(around), pa.nulls(len(found), pa.int64())], names=["w", "around", "clean"])
+        if clean:
+            yield pa.RecordBatch.from_arrays([pa.array(list(clean)), pa.nulls(len(clean), pa.int64()), pa.array(list(clean.values()), pa.int64())], names=["w", "around", "clean"])
+
+    # A word counts once in a text. Of toxic texts, those with the same neighbours of it (of its last use) count as one,
+    # so that copies of a passage don't make its words suspect.
+    counts = texts.mapInArrow(run, "w string, around bigint, clean bigint").groupBy("w").agg(F.count_distinct("around").alias("bad"), F.coalesce(F.sum("clean"), F.lit(0)).alias("clean"))
     # At most ``rows`` texts stand behind these counts, and only words that lean to the toxic ones come to the driver.
     rows_ = counts.filter("w = '' or (bad >= 5 and bad >= 3 * clean)").toPandas()
     total = rows_[rows_["w"] == ""]
