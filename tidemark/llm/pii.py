@@ -7,8 +7,10 @@ numbers). A term (a word near a mention) discloses an entity as far as
 
 with document counts over the whole corpus: 1 says that whoever reads the term can infer the entity. Terms of at
 least ``threshold`` for some entity are added to the spans, wherever they occur: at ``remove_at`` or more they are
-removed, below it generalised. ``support`` distinct contexts are asked for, so that copies of one passage prove
-nothing, and a term that merely stands beside a value once isn't taken for its sign.
+removed, below it generalised. ``support`` distinct contexts are asked for, and one for every two documents, so that
+copies of one passage prove nothing, and a term that merely stands beside a value once isn't taken for its sign. A
+context is the min-hash of the window's other words: exact copies share it, and near copies do but for the rare one
+whose least word was edited.
 
 Counting. Pairs come only from windows around mentions. Counts of the candidate terms come from all whole texts. The
 candidate and the disclosing terms are handed to all tasks in lots of at most ``LOT`` (one pass over the texts for
@@ -112,11 +114,12 @@ def cooccurrence(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
                 for kind, a, b in spans:
                     e = xxhash.xxh64_intdigest(_value(kind, text[a:b])) >> 1
                     near = _window(text, spans, a, b, words)
-                    context = xxhash.xxh64_intdigest(" ".join(near)) >> 1
+                    # A window's context, seen from a term, is the least hash of its other words.
+                    least = sorted({xxhash.xxh64_intdigest(w) >> 1: w for w in near}.items())
                     for t in ("", *near):
                         if (e, t) not in rows:
                             rows.add((e, t))
-                            out.append((e, t, context))
+                            out.append((e, t, next((h for h, w in least if w != t), 0)))
             if out:
                 e, t, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t), pa.array(c, pa.int64())], names=["entity", "term", "context"])
@@ -167,7 +170,7 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = cooccurrence(docs, id_col, text_col, rules.words)
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"), F.count_distinct("context").alias("contexts")).checkpoint()
     entity = pairs.filter("term = ''").select("entity", F.col("joint").alias("n_entity"))
-    strong = pairs.filter((F.col("term") != "") & (F.col("contexts") >= rules.support))
+    strong = pairs.filter((F.col("term") != "") & (F.col("contexts") >= rules.support) & (2 * F.col("contexts") >= F.col("joint")))
     counts = document_counts(docs, text_col, strong.select("term").distinct(), lot)
     total = docs.count()
     log2 = lambda c: F.log2(c.cast("double"))
