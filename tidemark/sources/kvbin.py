@@ -232,16 +232,32 @@ class Written(WriterCommitMessage):
     rows: int
 
 
-def encode(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray]:
+def encode(batch: pa.RecordBatch) -> tuple[memoryview, np.ndarray]:
     """The bytes of a batch with ``sort_key`` and ``payload``, and each record's size. Raises on an illegal length."""
     keys = batch.column("sort_key").to_numpy(zero_copy_only=False).view(np.uint64) ^ _FLIP
-    payloads = batch.column("payload").to_pylist()
-    lens = np.fromiter(map(len, payloads), np.int64, len(payloads))
-    if len(lens) and (lens.min() < MIN_LEN or lens.max() > MAX_LEN):
+    col = batch.column("payload")
+    if col.null_count:
+        raise ValueError("a payload is null")
+    col = col if pa.types.is_binary(col.type) else col.cast(pa.binary())
+    n = len(col)
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
+    lens = np.diff(ends)
+    if n and (lens.min() < MIN_LEN or lens.max() > MAX_LEN):
         raise ValueError(f"payload length outside [{MIN_LEN}, {MAX_LEN}]")
-    pack = _HEAD.pack
-    parts = [x for k, p in zip(keys.tolist(), payloads, strict=True) for x in (pack(k, len(p)), p)]
-    return b"".join(parts), lens + HEADER_BYTES
+    heads = np.empty((n, HEADER_BYTES), np.uint8)
+    heads[:, :8] = keys.astype("<u8").view(np.uint8).reshape(n, 8)
+    heads[:, 8:] = lens.astype("<u4").view(np.uint8).reshape(n, 4)
+    data = np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]] if n else np.zeros(0, np.uint8)
+    sizes = lens + HEADER_BYTES
+    if n and (lens == lens[0]).all():
+        return np.concatenate([heads, data.reshape(n, -1)], axis=1).ravel().data, sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    at = (np.cumsum(sizes) - sizes)[:, None] + np.arange(HEADER_BYTES)
+    body = np.ones(len(out), bool)
+    body[at.ravel()] = False
+    out[at.ravel()] = heads.ravel()
+    out[body] = data
+    return out.data, sizes
 
 
 class KvWriter(DataSourceArrowWriter):
