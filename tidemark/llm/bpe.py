@@ -36,6 +36,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import regex
 
+from tidemark.llm.encoding import stand_ins
+
 #: Fixed value: the pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CLASSES = {"L": regex.compile(r"\p{L}*+"), "N": regex.compile(r"\p{N}*+"), "O": regex.compile(r"[^\s\p{L}\p{N}]*+"), "S": regex.compile(r"\s*+")}
@@ -43,13 +45,6 @@ _CUT = regex.compile(r"(?r)(?<=\p{L}) (?=\p{L})")
 MEMO, MEMO_BYTES = 250_000, 48
 
 
-def _byte_chars() -> dict[str, int]:
-    """Printable stand-ins of bytes in the vocabulary file: printable Latin-1 stands for itself, the rest is moved to U+0100 on."""
-    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    moved = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(moved)}
-
-
 @dataclass
 class Vocabulary:
     tokens: dict[int, bytes]
@@ -63,7 +58,7 @@ class Vocabulary:
         """``lookahead``: the value of an earlier load, to save computing it again."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, chars = spec["model"], _byte_chars()
+        model, chars = spec["model"], {chr(c): b for b, c in stand_ins().items()}
         specials = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         ids = model["vocab"]
         as_bytes = lambda s: bytes(chars[c] for c in s)

@@ -23,7 +23,7 @@ LONG = 48
 _cache: dict[str, Encoder] = {}
 
 
-def _stand_ins() -> dict[int, int]:
+def stand_ins() -> dict[int, int]:
     """Byte -> its printable stand-in of byte-level vocabularies: printable Latin-1 stands for itself, the rest is moved to U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     moved = [b for b in range(256) if b not in own]
@@ -92,7 +92,7 @@ class Encoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.model = self.lib.model
-        self.chars = _stand_ins()
+        self.chars = stand_ins()
         # Does the tokenizer drop blanks and case, or keep both?
         same = lambda a, b: self.whole(a) == self.whole(b)
         self.folds = same("Word  One", "word one") and same(" a\nb ", "a b")
