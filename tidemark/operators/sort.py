@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.shared import ensure_checkpoint_dir
+from tidemark.shared import ensure_checkpoint_dir, fresh
 
 _UNSORTABLE = (T.MapType, T.VariantType)
 
@@ -63,22 +63,22 @@ def with_prefix(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None =
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     sums = sums or {}
+    part, at, *names = fresh(df, "__part", "__at", *(f"__base{i}" for i in range(1 + len(sums))))
     mid = F.monotonically_increasing_id()
-    placed = global_sort(df, keys, tie, descending).withColumn("__part", F.shiftright(mid, 33)).withColumn("__at", mid.bitwiseAND((1 << 33) - 1))
+    placed = global_sort(df, keys, tie, descending).withColumn(part, F.shiftright(mid, 33)).withColumn(at, mid.bitwiseAND((1 << 33) - 1))
     placed = placed.checkpoint(eager=True)
-    totals = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"s{i}") for i, c in enumerate(sums.values())]).orderBy("__part").collect()
+    totals = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"s{i}") for i, c in enumerate(sums.values())]).orderBy(part).collect()
     bases, run = [], [0] * (1 + len(sums))
     for r in totals:
-        bases.append((r["__part"], *run))
+        bases.append((r[0], *run))
         run = [x + y for x, y in zip(run, r[1:], strict=True)]
-    names = ["__base", *(f"__base{i}" for i in range(len(sums)))]
-    base = spark.createDataFrame(bases, "__part bigint, " + ", ".join(f"{n} bigint" for n in names))
-    out = placed.join(F.broadcast(base), "__part")
-    out = out.withColumn(name, F.col("__at") + F.col("__base") + 1)
-    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    for i, (to, c) in enumerate(sums.items()):
-        out = out.withColumn(to, (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__base{i}")).cast("bigint"))
-    return out.drop("__part", "__at", *names)
+    base = spark.createDataFrame(bases, ", ".join(f"`{n}` bigint" for n in (part, *names)))
+    out = placed.join(F.broadcast(base), part)
+    out = out.withColumn(name, F.col(at) + F.col(names[0]) + 1)
+    inside = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    for (to, c), before in zip(sums.items(), names[1:], strict=True):
+        out = out.withColumn(to, (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(before)).cast("bigint"))
+    return out.drop(part, at, *names)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None = None, descending: Sequence[str] = (), name: str = "pos") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -22,3 +22,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the shared one, as a URI or path."""
     root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that a DataFrame doesn't have yet (in any case of letters), made of the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
