@@ -41,3 +41,21 @@ def test_stages_by_brute_force(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_on_odd_tables(spark):
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", None, None), (3, "same text of some words", "en", "a", 23), (3, "same text of some words", "en", "a", 23), (4, "Same text\nof some words", "de", "b", 23), (5, "word " * 300_000, "en", "a", 1_500_000), (6, "mail a.b@example.com now", "fr", "c", 24), (None, "no id but text here", "es", None, 19)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("__row", "__key", "__score", "fp", "component_id", "t", "d", "quality"):
+        docs = docs.withColumn(c, docs.doc_id.cast("string"))
+    for table in (docs, docs.limit(0)):
+        table = table.checkpoint()
+        out = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, SF).checkpoint()
+            assert name == "packing" or out.columns == table.columns
+            if name == "near_dedup" and not table.isEmpty():
+                left = [(r["doc_id"], (r["text"] or "")[:9]) for r in out.collect()]
+                # The three texts without words are one group, and so are the three of the same words.
+                assert sorted(left, key=str) == sorted([(None, ""), (3, "same text"), (5, "word word"), (6, "mail a.b@"), (None, "no id but")], key=str)
+        assert {r["doc_id"] for r in out.collect()} == (set() if table.isEmpty() else {None, 3, 5, 6})

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced, texts_of
-from tidemark.shared import ensure_checkpoint_dir
+from tidemark.shared import ensure_checkpoint_dir, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -192,8 +192,8 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, carry: bool = False) -> DataFrame:
-    """doc_id, ``base`` and ``terms`` (arrays of kind, start, end), and with ``carry`` all columns of the input instead
-    of doc_id. Terms come in several passes if there are more than a lot of them."""
+    """doc_id, ``base_spans`` and ``term_spans`` (arrays of kind, start, end), and with ``carry`` all other columns of
+    the input instead of doc_id. Terms come in several passes if there are more than a lot of them."""
     flagged = disclosing_terms(docs, id_col, text_col, rules, lot)
     sets = [frozenset(r["term"] for r in part.select("term").collect()) for part in _lots(flagged, "term", lot)] or [frozenset()]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -211,12 +211,13 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return run
 
-    out = docs.withColumn("__s", spans_udf(sets[0])(F.col(text_col)))
-    out = out.withColumn("__base", F.col("__s.base")).withColumn("__terms", F.col("__s.terms"))
+    found, base, terms = fresh(docs, "__found", "__base", "__terms")
+    out = docs.withColumn(found, spans_udf(sets[0])(F.col(text_col)))
+    out = out.withColumn(base, F.col(found)["base"]).withColumn(terms, F.col(found)["terms"])
     for words in sets[1:]:
-        out = out.withColumn("__terms", F.array_sort(F.concat("__terms", spans_udf(words)(F.col(text_col))["terms"])))
-    keep = docs.columns if carry else [F.col(id_col).alias("doc_id")]
-    return out.select(*keep, F.col("__base").alias("base_spans"), F.col("__terms").alias("term_spans"))
+        out = out.withColumn(terms, F.array_sort(F.concat(terms, spans_udf(words)(F.col(text_col))["terms"])))
+    keep = [c for c in docs.columns if c not in ("base_spans", "term_spans")] if carry else [F.col(id_col).alias("doc_id")]
+    return out.select(*keep, F.col(base).alias("base_spans"), F.col(terms).alias("term_spans"))
 
 
 def _dicts(spans):

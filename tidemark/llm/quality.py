@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced, texts_of
+from tidemark.shared import fresh
 
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -398,5 +399,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 def quality_filter(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows that are kept, with the same columns."""
     model = fit(docs, text_col, **options)
-    out = docs.withColumn("__s", scores(model, F.col(text_col)))
-    return out.filter((F.col("__s.quality") >= 0.5) & (F.col("__s.toxicity") < 0.5)).select(*docs.columns)
+    (s,) = fresh(docs, "__score")
+    out = docs.withColumn(s, scores(model, F.col(text_col)))
+    return out.filter((F.col(s)["quality"] >= 0.5) & (F.col(s)["toxicity"] < 0.5)).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.shared import ensure_checkpoint_dir
+from tidemark.shared import ensure_checkpoint_dir, fresh
 
 SEED = 42
 BLOCKS = 6
@@ -169,8 +169,10 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     files already, whose splits are the same each time.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    row, key = fresh(docs, "__row", "__key")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
     keyed = keyed if stored else keyed.checkpoint()
-    ranked = near_duplicates(keyed.withColumn("__key", F.struct(F.col(id_col), F.col("__row"))), "__key", text_col, distance, words=words)
-    dropped = ranked.filter("doc_id <> component_id").select(F.col("doc_id.__row").alias("__row"))
-    return keyed.join(dropped, "__row", "left_anti").select(*docs.columns)
+    place = F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))
+    ranked = near_duplicates(keyed.withColumn(key, place), key, text_col, distance, words=words)
+    dropped = ranked.filter("doc_id <> component_id").select(F.col("doc_id.row").alias(row))
+    return keyed.join(dropped, row, "left_anti").select(*docs.columns)
