@@ -42,19 +42,20 @@ def local_runs(spark, d):
 
 def merge_runs(spark, d):
     df = table(spark, d, "lineitem").select(*LINEITEM)
-    runs = [df.filter(F.pmod("l_orderkey", F.lit(8)) == i) for i in range(8)]
-    return sort.with_position(merge.union_bag(runs), LINEITEM)
+    small = F.coalesce(F.col("l_quantity") <= 25, F.lit(False))
+    return sort.with_position(merge.union_bag([df.filter(small), df.filter(~small)]), LINEITEM)
 
 
 def union_bag(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return merge.union_bag([o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 2 = 0")])
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"))
+    line = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("price"), F.col("l_orderkey").alias("orderkey"))
+    return merge.union_bag([o, line, o])
 
 
 def compare_bag(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     parts = []
-    for case, other in (("same", o), ("mutated", o.filter("o_orderkey % 100 <> 7"))):
+    for case, other in (("same", o), ("mutated", o.filter("o_orderpriority <> '1-URGENT'"))):
         diff = verify.bag_difference(o, other)
         parts.append(diff.agg(F.coalesce(F.sum(F.greatest("surplus", F.lit(0))), F.lit(0)).cast("bigint").alias("only_a"), F.coalesce(F.sum(F.greatest(-F.col("surplus"), F.lit(0))), F.lit(0)).cast("bigint").alias("only_b")).select(F.lit(case).alias("case_name"), "only_a", "only_b"))
     return merge.union_bag(parts)
@@ -179,7 +180,7 @@ def mean_per_cores(spark, d):
 
 def running_totals(spark, d):
     w = Window.partitionBy("l_returnflag").orderBy("l_shipdate", *[c for c in LINEITEM if c != "l_shipdate"]).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "lineitem").withColumn("rn", F.count(F.lit(1)).over(w)).filter("rn % 1000 = 0").select("l_returnflag", "rn", "l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").withColumn("rn", F.count(F.lit(1)).over(w)).select("l_returnflag", "rn", "l_orderkey", "l_linenumber")
 
 
 QUERIES = {f.__name__: f for f in (sort_full, sort_events_dupkeys, sort_desc_multi, topk, local_runs, merge_runs, union_bag, compare_bag, compare_ordered, verify_sorted, record_projection, filter_domain, record_size, size_stats, running_bytes, even_split, pack_bytes, round_robin, systematic_sample, dup_keys, key_ranges, io_bound, speedup_join, first_value_baseline, log_regex, sweep_grid, mean_per_cores, running_totals)}
@@ -197,8 +198,8 @@ ORACLE = {
     "sort_desc_multi": "SELECT o_totalprice, o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey, o_custkey) AS pos FROM orders",
     "topk": "SELECT o_totalprice, o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
     "local_runs": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 8 AS run_id, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey, o_custkey, o_totalprice) AS rank FROM orders",
-    "union_bag": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0",
-    "compare_bag": """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), m AS (SELECT * FROM o WHERE o_orderkey % 100 <> 7)
+    "union_bag": "WITH o AS (SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders) SELECT * FROM o UNION ALL SELECT l_orderkey, l_extendedprice FROM lineitem UNION ALL SELECT * FROM o",
+    "compare_bag": """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders), m AS (SELECT * FROM o WHERE o_orderpriority <> '1-URGENT')
         SELECT 'same' AS case_name, (SELECT count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM o)) AS only_a, (SELECT count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM o)) AS only_b
         UNION ALL SELECT 'mutated', (SELECT count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM m)), (SELECT count(*) FROM (SELECT * FROM m EXCEPT ALL SELECT * FROM o))""",
     "compare_ordered": f"""WITH a AS ({_EVENTS.format("")}), b AS ({_EVENTS.format(" DESC")})
@@ -225,5 +226,5 @@ ORACLE = {
     "log_regex": f"SELECT run, TRY_CAST(nullif(regexp_extract(arg_max(line, line_no), 'Time=([0-9.]+)', 1), '') AS DOUBLE) AS time FROM (VALUES {_values(_LOG)}) t(run, line_no, line) GROUP BY run",
     "sweep_grid": f"SELECT procs, threads, procs * threads AS cores FROM {_GRID}",
     "mean_per_cores": f"SELECT procs * threads AS cores, avg(procs * 2.0 + threads) AS mean_time FROM {_GRID} GROUP BY 1",
-    "running_totals": f"SELECT l_returnflag, rn, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {', '.join(c for c in LINEITEM if c != 'l_shipdate')}) AS rn FROM lineitem) WHERE rn % 1000 = 0",
+    "running_totals": f"SELECT l_returnflag, rn, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {', '.join(c for c in LINEITEM if c != 'l_shipdate')}) AS rn FROM lineitem)",
 }
