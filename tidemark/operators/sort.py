@@ -43,13 +43,6 @@ def local_runs(df: DataFrame, runs: int, keys: Sequence[str], tie: Sequence[str]
     return df.repartition(runs).sortWithinPartitions(*order).withColumn("run_id", F.spark_partition_id())
 
 
-def runs_by_key(df: DataFrame, key: str, runs: int, tie: Sequence[str]) -> DataFrame:
-    """Deterministic runs: ``run_id`` = key mod ``runs``, ``rank`` inside the run."""
-    order = _orders([key, *tie], ())
-    out = df.withColumn("run_id", F.pmod(F.col(key), F.lit(runs)).cast("bigint"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("bigint"))
-
-
 def with_prefix(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None = None, descending: Sequence[str] = (), name: str = "pos", sums: dict[str, str] | None = None) -> DataFrame:
     """Add the 1-based global position in sort order and running sums of long columns, without a single-partition window.
 
@@ -86,6 +79,22 @@ def with_position(df: DataFrame, keys: Sequence[str], tie: Sequence[str] | None
     return with_prefix(df, keys, tie, descending, name)
 
 
+def position_in_group(df: DataFrame, group: str, keys: Sequence[str], tie: Sequence[str] | None = None, name: str = "rank") -> DataFrame:
+    """1-based position inside each group, for any sizes of groups: the position in the sort by (group, keys), less the
+    positions of earlier groups. A group that holds most rows is spread like any others; group starts are joined back."""
+    (pos, first) = fresh(df, "__pos", "__first")
+    placed = with_position(df, [group, *keys], tie, name=pos)
+    starts = placed.groupBy(F.col(group).alias("__group")).agg(F.min(pos).alias(first))
+    out = placed.join(starts, F.col(group).eqNullSafe(F.col("__group")))
+    return out.withColumn(name, F.col(pos) - F.col(first) + 1).drop(pos, first, "__group")
+
+
+def runs_by_key(df: DataFrame, key: str, runs: int, tie: Sequence[str]) -> DataFrame:
+    """Deterministic runs: ``run_id`` = key mod ``runs``, ``rank`` inside the run."""
+    out = df.withColumn("run_id", F.pmod(F.col(key), F.lit(runs)).cast("bigint"))
+    return position_in_group(out, "run_id", [key, *tie], [])
+
+
 def top_k(df: DataFrame, k: int, keys: Sequence[str], tie: Sequence[str] | None = None, descending: Sequence[str] = ()) -> DataFrame:
     """The first ``k`` rows in order: ``TakeOrderedAndProject``, k rows a task at most. (An extension of the sort.)"""
     return df.orderBy(*_orders(order_columns(df, keys, tie), descending)).limit(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import analytics
@@ -178,12 +178,13 @@ def mean_per_cores(spark, d):
     return analytics.mean_per(g.withColumn("cores", F.col("procs") * F.col("threads")), ["cores"], "t")
 
 
-def running_totals(spark, d):
-    w = Window.partitionBy("l_returnflag").orderBy("l_shipdate", *[c for c in LINEITEM if c != "l_shipdate"]).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "lineitem").withColumn("rn", F.count(F.lit(1)).over(w)).select("l_returnflag", "rn", "l_orderkey", "l_linenumber")
+def rank_in_group(spark, d):
+    df = table(spark, d, "lineitem").select(*LINEITEM)
+    out = sort.position_in_group(df, "l_returnflag", ["l_shipdate"], name="rn")
+    return out.select("l_returnflag", "rn", "l_orderkey", "l_linenumber")
 
 
-QUERIES = {f.__name__: f for f in (sort_full, sort_events_dupkeys, sort_desc_multi, topk, local_runs, merge_runs, union_bag, compare_bag, compare_ordered, verify_sorted, record_projection, filter_domain, record_size, size_stats, running_bytes, even_split, pack_bytes, round_robin, systematic_sample, dup_keys, key_ranges, io_bound, speedup_join, first_value_baseline, log_regex, sweep_grid, mean_per_cores, running_totals)}
+QUERIES = {f.__name__: f for f in (sort_full, sort_events_dupkeys, sort_desc_multi, topk, local_runs, merge_runs, union_bag, compare_bag, compare_ordered, verify_sorted, record_projection, filter_domain, record_size, size_stats, running_bytes, even_split, pack_bytes, round_robin, systematic_sample, dup_keys, key_ranges, io_bound, speedup_join, first_value_baseline, log_regex, sweep_grid, mean_per_cores, rank_in_group)}
 
 _ORDER_ALL = f"SELECT {_LI}, row_number() OVER (ORDER BY {', '.join(c + ' NULLS FIRST' for c in LINEITEM)}) AS pos FROM lineitem"
 _SIZES = "SELECT doc_id, CAST(strlen(text) + 12 AS BIGINT) AS size FROM documents"
@@ -226,5 +227,5 @@ ORACLE = {
     "log_regex": f"SELECT run, TRY_CAST(nullif(regexp_extract(arg_max(line, line_no), 'Time=([0-9.]+)', 1), '') AS DOUBLE) AS time FROM (VALUES {_values(_LOG)}) t(run, line_no, line) GROUP BY run",
     "sweep_grid": f"SELECT procs, threads, procs * threads AS cores FROM {_GRID}",
     "mean_per_cores": f"SELECT procs * threads AS cores, avg(procs * 2.0 + threads) AS mean_time FROM {_GRID} GROUP BY 1",
-    "running_totals": f"SELECT l_returnflag, rn, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {', '.join(c for c in LINEITEM if c != 'l_shipdate')}) AS rn FROM lineitem)",
+    "rank_in_group": f"SELECT l_returnflag, rn, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {', '.join(c for c in LINEITEM if c not in ('l_shipdate', 'l_returnflag'))}) AS rn FROM lineitem)",
 }
