@@ -51,8 +51,8 @@ def main() -> None:
     kvbin.write_records(gen.gen_count(spark, n, 64), src)
 
     def record_sort():
-        df = kvbin.read_records(spark, src, splitBytes=16 << 20).select("sort_key", "payload", "file", "offset")
-        kvbin.write_records(df.orderBy("sort_key", "file", "offset"), dst)
+        df = kvbin.read_records(spark, src, splitBytes=16 << 20).select("sort_key", "payload", "file_id", "offset")
+        kvbin.write_records(df.orderBy("sort_key", "file_id", "offset"), dst)
 
     clock("record_sort_1M_p64", record_sort)
     spark.stop()

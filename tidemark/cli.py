@@ -33,8 +33,8 @@ def _sort(a, spark) -> int:
     clock = Phases()
     split = max(1 << 20, chunking.threaded_chunk(max(1, kvbin.file_bytes(a.file)), a.mb << 20, a.threads))
     with clock.phase("sort"):
-        df = kvbin.read_records(spark, a.file, splitBytes=split)
-        write_ordered(df, out, ["sort_key"], ["file", "offset"], fmt="kvbin", single_file=a.single)
+        df = kvbin.read_records(spark, a.file, splitBytes=split).select("sort_key", "file_id", "offset", "payload")
+        write_ordered(df, out, ["sort_key"], ["file_id", "offset"], fmt="kvbin", single_file=a.single)
     if a.command == "benchmark":
         print(f"File={a.file} Threads={a.threads} Memory={a.mb} Time={clock.total:.4f}")
         if not a.keep:

@@ -152,5 +152,5 @@ def compare_files(spark, a: str, b: str) -> bool:
     from tidemark.sources.kvbin import read_records
 
     # File and offset are the order; the position follows from them.
-    frames = [with_position(read_records(spark, p).select("file", "offset", "sort_key", "len", "payload"), ["file", "offset"], []).drop("file", "offset") for p in (a, b)]
+    frames = [with_position(read_records(spark, p).select("file_id", "offset", "sort_key", "len", "payload"), ["file_id", "offset"], []).drop("file_id", "offset") for p in (a, b)]
     return ordered_mismatches(*frames).isEmpty()

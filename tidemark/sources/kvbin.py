@@ -35,7 +35,7 @@ _ROWS = 32768
 
 _SCHEMA = pa.schema(
     [
-        ("file", pa.string()),
+        ("file_id", pa.int32()),
         ("offset", pa.int64()),
         ("sort_key", pa.int64()),
         ("len", pa.int32()),
@@ -43,7 +43,7 @@ _SCHEMA = pa.schema(
         ("corrupt", pa.string()),
     ]
 )
-_DDL = "file string, offset bigint, sort_key bigint, len int, payload binary, corrupt string"
+_DDL = "file_id int, offset bigint, sort_key bigint, len int, payload binary, corrupt string"
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -67,6 +67,7 @@ class Split(InputPartition):
     file: str
     start: int
     end: int
+    file_id: int = 0
 
 
 @dataclass
@@ -172,7 +173,7 @@ def _batches(split: Split, rules: Rules) -> Iterator[pa.RecordBatch]:
             block = rest + got
             starts, keys, lens, used, why = _parse(memoryview(block), rules)
             for i in range(0, len(starts), _ROWS):
-                yield _batch(split.file, block, at, starts[i : i + _ROWS], keys[i : i + _ROWS], lens[i : i + _ROWS], rules)
+                yield _batch(split.file_id, block, at, starts[i : i + _ROWS], keys[i : i + _ROWS], lens[i : i + _ROWS], rules)
             at += used
             rest = block[used:]
             if not used and not why and not got:
@@ -181,12 +182,12 @@ def _batches(split: Split, rules: Rules) -> Iterator[pa.RecordBatch]:
                 if rules.mode == "FAILFAST":
                     raise ValueError(f"{split.file}: {why.format(at)}")
                 if rules.mode == "PERMISSIVE":
-                    row = {"file": [split.file], "offset": [at], "sort_key": [None], "len": [None], "payload": [None], "corrupt": [why.format(at)]}
+                    row = {"file_id": [split.file_id], "offset": [at], "sort_key": [None], "len": [None], "payload": [None], "corrupt": [why.format(at)]}
                     yield pa.RecordBatch.from_pydict(row, schema=_SCHEMA)
                 return
 
 
-def _batch(file: str, block: bytes, base: int, starts: np.ndarray, keys: np.ndarray, lens: np.ndarray, rules: Rules) -> pa.RecordBatch:
+def _batch(file_id: int, block: bytes, base: int, starts: np.ndarray, keys: np.ndarray, lens: np.ndarray, rules: Rules) -> pa.RecordBatch:
     n = len(starts)
     payload = pa.nulls(n, pa.binary())
     if rules.payload:
@@ -201,7 +202,7 @@ def _batch(file: str, block: bytes, base: int, starts: np.ndarray, keys: np.ndar
             data = data[begin:end][keep]
         payload = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
     return pa.RecordBatch.from_arrays(
-        [pa.repeat(file, n), pa.array(starts + base), pa.array((keys ^ _FLIP).view(np.int64)), pa.array(lens), payload, pa.nulls(n, pa.string())],
+        [pa.repeat(pa.scalar(file_id, pa.int32()), n), pa.array(starts + base), pa.array((keys ^ _FLIP).view(np.int64)), pa.array(lens), payload, pa.nulls(n, pa.string())],
         schema=_SCHEMA,
     )
 
@@ -214,10 +215,10 @@ class KvReader(DataSourceReader):
         fs, path = filesystem(self.path)
         prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
         out = []
-        for f in _data_files(fs, path):
+        for i, f in enumerate(_data_files(fs, path)):
             if f.size:
                 cuts = _cuts(fs, f, self.rules)
-                out += [Split(prefix + f.path, a, b) for a, b in zip(cuts, [*cuts[1:], f.size], strict=True)]
+                out += [Split(prefix + f.path, a, b, i) for a, b in zip(cuts, [*cuts[1:], f.size], strict=True)]
         return out or [Split("", 0, 0)]
 
     def read(self, partition):
@@ -333,7 +334,7 @@ class KvBin(DataSource):
 
 
 def read_records(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Records of a file or folder, with their file and offset (the natural tie-breaker)."""
+    """Records of a file or folder, with their file's number in name order and their offset (the natural tie-breaker)."""
     spark.dataSource.register(KvBin)
     df = spark.read.format("kvbin").options(path=path, **options).load()
     return df.withColumn("key", from_sort_key(F.col("sort_key")))
