@@ -110,6 +110,9 @@ class Vocabulary:
     def __post_init__(self):
         self._open: dict[int, tuple[EliasFano, np.ndarray]] = {}
 
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}  # mapped files don't travel
+
     @property
     def v(self) -> int:
         return int(self.bases[-1])
