@@ -49,8 +49,10 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 def band_keys(hashes: np.ndarray) -> list[int]:
     low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 1024):
-        low = np.minimum(low, ((x[i : i + 1024] ^ _FLIP) * _TIMES).min(1))
+    for i in range(0, len(x), 256):
+        part = x[i : i + 256] ^ _FLIP
+        part *= _TIMES
+        np.minimum(low, part.min(1), out=low)
     return [xxhash.xxh64_intdigest(band.tobytes()) for band in low.reshape(BANDS, ROWS)]
 
 
@@ -138,15 +140,9 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, stored: bool = False) -> DataFrame:
-    """One document of each component of near copies stays: the row of the smallest id (the first such row, if rows
-    repeat). Same columns. Rows are told apart by their place in the input, which must be the same in all passes, so
-    it is stored first; ``stored`` says that it is a plain scan of stored files already."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    (row,) = fresh(docs, "__row")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    keyed = keyed if stored else keyed.checkpoint()
-    rows = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("place"), F.col(text_col).alias("text"))
+def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(place, text), place a struct of id and row, the same in each pass -> (row, keep) of all rows: the row that stands
+    for its component of near copies, the one of the smallest place."""
     prints = rows.select("place", _sketch(F.col("text"), words).alias("s")).select("place", "s.node", "s.keys").checkpoint()
     nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("keys").alias("keys")).checkpoint()
 
@@ -171,5 +167,17 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = nodes.select("node", "low").join(linked.select("node", "root").join(kept, "root").select("node", "keep"), "node", "left")
     # Stored, so that the join below stands on plain exchanges, of which a hot node's can be split at run time.
     of = of.select("node", F.coalesce("keep", "low").getField("row").alias("keep")).checkpoint()
-    dropped = prints.select("node", F.col("place.row").alias(row)).join(of, "node").filter(F.col(row) != F.col("keep")).select(row)
+    return prints.select("node", F.col("place.row").alias("row")).join(of, "node").select("row", "keep")
+
+
+def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, stored: bool = False) -> DataFrame:
+    """One document of each component of near copies stays: the row of the smallest id (the first such row, if rows
+    repeat). Same columns. Rows are told apart by their place in the input, which must be the same in all passes, so
+    it is stored first; ``stored`` says that it is a plain scan of stored files already."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    (row,) = fresh(docs, "__row")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    keyed = keyed if stored else keyed.checkpoint()
+    rows = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("place"), F.col(text_col).alias("text"))
+    dropped = near_groups(rows, words, similarity).filter("row <> keep").select(F.col("row").alias(row))
     return keyed.join(dropped, row, "left_anti").select(*docs.columns)

@@ -5,19 +5,21 @@ numbers). A term (a word near a mention) discloses an entity as far as
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log2(N n(t,e) / (n(t) n(e))),   IC(e) = log2(N / n(e)),
 
-with document counts over the whole corpus: 1 says that whoever reads the term can infer the entity. Terms of at
-least ``threshold`` for some entity are added to the spans, wherever they occur: at ``remove_at`` or more they are
-removed, below it generalised. ``support`` distinct contexts are asked for, and one for every two documents, so that
+with counts over all groups of near copies of the corpus (``jaccard``; a document without copies is a group), so that
+copies weigh one: 1 says that whoever reads the term can infer the entity. Terms of at least ``threshold`` for some entity are added to the spans, wherever they occur: at ``remove_at`` or more they are
+removed, below it generalised. ``support`` distinct contexts are asked for, however many documents there are, so that
 copies of one passage prove nothing, and a term that merely stands beside a value once isn't taken for its sign. A
-context is the min-hash of the window's other words: exact copies share it, and near copies do but for the rare one
-whose least word was edited.
+context is the set of the window's other words; two are the same if they share half of all their words or more, as the
+copies of a passage do in spite of edits. Of each term and entity only the first ``support`` distinct ones are kept.
+
+Words of one or two characters and words of digits alone are never candidates (they would be taken out all over the
+corpus): two-character names, initials, customer numbers and the like that stand beside a value stay.
 
 Counting. Pairs come only from windows around mentions. Counts of the candidate terms come from all whole texts. The
 candidate and the disclosing terms are handed to all tasks in lots of at most ``LOT`` (one pass over the texts for
 each lot), so no task holds more, however many there are.
 
-Defined cases: null texts count as empty; repeated rows count as documents of their own, but their contexts are the
-same; an empty table gives no rows; further columns are kept by ``sanitised`` and ignored elsewhere.
+Defined cases: null texts count as empty; repeated rows are copies; an empty table gives no rows; further columns are kept by ``sanitised`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced, texts_of
+from tidemark.llm.jaccard import near_groups
 from tidemark.shared import ensure_checkpoint_dir, fresh
 
 KINDS = ("email", "ip", "card", "phone")
@@ -101,30 +104,67 @@ def _window(text: str, spans: list[tuple[str, int, int]], start: int, end: int,
     return [w for s, e in free if len(w := text[s:e].lower()) > 2 and not w.isdigit()]
 
 
-def cooccurrence(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(entity, term, context): each pair once per document; a row without a term for each entity of a document."""
+def distinct_contexts(kept: list[frozenset], more: frozenset, support: int) -> bool:
+    """Adds a context to those kept, unless it is one of them or they are enough; says whether it did."""
+    if len(kept) >= support or any(2 * len(more & k) >= len(more | k) for k in kept):
+        return False
+    kept.append(more)
+    return True
+
+
+def cooccurrence(docs: DataFrame, text_col: str, row: str, words: int, support: int) -> DataFrame:
+    """(entity, term, row, context): each pair once per document, with its context if the task hasn't enough of them; more
+    rows of a pair only for further contexts; a row without a term for each entity of a document."""
 
     def run(batches):
-        for batch in sliced(batches, 0):
-            rows = set()
+        kept: dict[tuple[int, str], list[frozenset]] = {}
+        for batch in (s for b in batches for s in sliced([b], 0)):
             out = []
-            for text in texts_of(batch, 0):
+            for number, text in zip(batch.column(1).to_pylist(), texts_of(batch, 0), strict=True):
+                rows = set()
                 spans = find_base(text)
-                rows.clear()
                 for kind, a, b in spans:
                     e = xxhash.xxh64_intdigest(_value(kind, text[a:b])) >> 1
                     near = _window(text, spans, a, b, words)
-                    # A window's context, seen from a term, is the least hash of its other words.
-                    least = sorted({xxhash.xxh64_intdigest(w) >> 1: w for w in near}.items())
-                    for t in ("", *near):
-                        if (e, t) not in rows:
+                    hashes = {w: xxhash.xxh64_intdigest(w) >> 1 for w in near}
+                    every = frozenset(hashes.values())
+                    if (e, "") not in rows:
+                        rows.add((e, ""))
+                        out.append((e, "", number, None))
+                    for t in hashes:
+                        context = every - {hashes[t]}
+                        new = distinct_contexts(kept.setdefault((e, t), []), context, support)
+                        if new or (e, t) not in rows:
                             rows.add((e, t))
-                            out.append((e, t, next((h for h, w in least if w != t), 0)))
+                            out.append((e, t, number, sorted(context) if new else None))
+            if len(kept) > LOT:
+                kept.clear()
             if out:
-                e, t, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t), pa.array(c, pa.int64())], names=["entity", "term", "context"])
+                e, t, n, c = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t), pa.array(n, pa.int64()), pa.array(c, pa.list_(pa.int64()))], names=["entity", "term", "row", "context"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "entity bigint, term string, context bigint")
+    return docs.select(F.col(text_col).alias("text"), F.col(row)).mapInArrow(run, "entity bigint, term string, row bigint, context array<bigint>")
+
+
+def supported(pairs: DataFrame, support: int) -> DataFrame:
+    """(entity, term) of at least ``support`` distinct contexts."""
+    seen = pairs.filter("context is not null").select("entity", "term", "context").distinct()
+    dealt = seen.repartition("entity", "term").sortWithinPartitions("entity", "term", "context")
+
+    def run(batches):
+        held, kept = None, []
+        for b in batches:
+            out = []
+            for e, t, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (e, t) != held:
+                    held, kept = (e, t), []
+                if distinct_contexts(kept, frozenset(c), support) and len(kept) == support:
+                    out.append(held)
+            if out:
+                e, t = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(t)], names=["entity", "term"])
+
+    return dealt.mapInArrow(run, "entity bigint, term string")
 
 
 def _lots(df: DataFrame, column: str, lot: int) -> Iterator[DataFrame]:
@@ -135,13 +175,17 @@ def _lots(df: DataFrame, column: str, lot: int) -> Iterator[DataFrame]:
         yield df if parts == 1 else df.filter(F.pmod(F.xxhash64(column), F.lit(parts)) == i)
 
 
-def document_counts(docs: DataFrame, text_col: str, terms: DataFrame, lot: int = LOT) -> DataFrame:
-    """(term, n): in how many documents each of the terms occurs; whole texts of all documents."""
+def document_counts(docs: DataFrame, text_col: str, row: str, terms: DataFrame, copies: DataFrame | None, lot: int = LOT) -> DataFrame:
+    """(term, n): in how many groups of near copies each of the terms occurs; whole texts of all documents. ``copies``
+    has (row, keep) of the documents in groups of two or more; the others are counted where they are read."""
+    spark = docs.sparkSession
     out = None
     for part in _lots(terms, "term", lot):
-        wanted = frozenset(r["term"] for r in part.collect())
+        place = {t: i for i, t in enumerate(sorted(r["term"] for r in part.collect()))}
+        numbered = spark.createDataFrame([(i, t) for t, i in place.items()], "i int, term string")
+        wanted = frozenset(place)
 
-        def run(batches, wanted=wanted):
+        def count(batches, wanted=wanted):
             seen: Counter = Counter()
             for batch in sliced(batches, 0):
                 for text in texts_of(batch, 0):
@@ -149,10 +193,20 @@ def document_counts(docs: DataFrame, text_col: str, terms: DataFrame, lot: int =
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
-        got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term string, n bigint")
+        def occur(batches, place=place):
+            for batch in sliced(batches, 0):
+                found = [sorted({place[w] for w in map(str.lower, set(_WORD.findall(text))) if w in place}) for text in texts_of(batch, 0)]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["row", "at"])
+
+        texts = docs.select(F.col(text_col).alias("text"), F.col(row).alias("row"))
+        got = texts.select("text").mapInArrow(count, "term string, n bigint")
+        if copies is not None:
+            held = texts.mapInArrow(occur, "row bigint, at array<int>").join(copies, "row").select("keep", F.explode("at").alias("i"))
+            held = held.groupBy("keep", "i").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.sum(1 - F.col("n")).alias("n"))
+            got = got.unionAll(held.join(numbered, "i").select("term", "n"))
         out = got if out is None else out.unionAll(got)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "term string, n bigint")
+        return spark.createDataFrame([], "term string, n bigint")
     return out.groupBy("term").agg(F.sum("n").alias("n"))
 
 
@@ -164,15 +218,24 @@ class Rules:
     words: int = 8
 
 
-def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT) -> DataFrame:
-    """(term, disclosure): terms whose disclosure of some entity reaches the threshold."""
+def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, stored: bool = False, distinct: bool = False) -> DataFrame:
+    """(term, disclosure): terms whose disclosure of some entity reaches the threshold. ``stored`` says that ``docs`` is a
+    plain scan of stored files, whose rows come in the same places each time; ``distinct`` that near copies are out."""
     ensure_checkpoint_dir(docs.sparkSession)
-    pairs = cooccurrence(docs, id_col, text_col, rules.words)
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"), F.count_distinct("context").alias("contexts")).checkpoint()
-    entity = pairs.filter("term = ''").select("entity", F.col("joint").alias("n_entity"))
-    strong = pairs.filter((F.col("term") != "") & (F.col("contexts") >= rules.support) & (2 * F.col("contexts") >= F.col("joint")))
-    counts = document_counts(docs, text_col, strong.select("term").distinct(), lot)
-    total = docs.count()
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = docs if stored or distinct else docs.checkpoint()
+    pairs = cooccurrence(docs, "text", "row", rules.words, rules.support).checkpoint()
+    total, copies, one = docs.count(), None, pairs
+    if not distinct:
+        groups = near_groups(docs.select(F.struct("id", "row").alias("place"), "text"))
+        several = groups.filter("row <> keep").select("keep").distinct()
+        copies = groups.join(several, "keep").select("row", "keep").checkpoint()
+        total -= copies.filter("row <> keep").count()
+        one = pairs.join(copies, "row", "left").withColumn("row", F.coalesce("keep", "row"))
+    joint = one.groupBy("entity", "term").agg(F.count_distinct("row").alias("joint")).checkpoint()
+    entity = joint.filter("term = ''").select("entity", F.col("joint").alias("n_entity"))
+    strong = joint.join(supported(pairs, rules.support), ["entity", "term"]).checkpoint()
+    counts = document_counts(docs, "text", "row", strong.select("term").distinct(), copies, lot)
     log2 = lambda c: F.log2(c.cast("double"))
     ic = log2(F.lit(total)) - log2(F.col("n_entity"))
     pmi = log2(F.lit(total)) + log2(F.col("joint")) - log2(F.col("n")) - log2(F.col("n_entity"))
@@ -191,10 +254,10 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, carry: bool = False) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, carry: bool = False, stored: bool = False) -> DataFrame:
     """doc_id, ``base_spans`` and ``term_spans`` (arrays of kind, start, end), and with ``carry`` all other columns of
     the input instead of doc_id. Terms come in several passes if there are more than a lot of them."""
-    flagged = disclosing_terms(docs, id_col, text_col, rules, lot)
+    flagged = disclosing_terms(docs, id_col, text_col, rules, lot, stored)
     sets = [frozenset(r["term"] for r in part.select("term").collect()) for part in _lots(flagged, "term", lot)] or [frozenset()]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     ddl = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -224,12 +287,12 @@ def _dicts(spans):
     return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT) -> DataFrame:
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, distinct: bool = False) -> DataFrame:
     """The same columns with personal values replaced by their kind, and disclosing terms generalised or removed.
 
     Overlapping spans of different kinds are replaced as one, by the first kind.
     """
-    flagged = disclosing_terms(docs, id_col, text_col, rules, lot)
+    flagged = disclosing_terms(docs, id_col, text_col, rules, lot, distinct=distinct)
     out = docs
     parts = list(_lots(flagged, "term", lot)) or [flagged]
     for i, part in enumerate(parts):

@@ -10,7 +10,7 @@ from tidemark.llm.pii import KINDS, find_personal
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"), stored=True)
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     joined = lambda c: F.array_join(F.transform(c, one), ",")
     number = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
