@@ -23,3 +23,26 @@ def test_copies_weigh_one(spark):
     assert abs(got["brunhilda"] - 1) < 1e-9 and got == plain
     elsewhere = [" ".join(r.choices(words, k=30)) + " Brunhilda"]
     assert terms(spark, other + independent + elsewhere * 200) == terms(spark, other + independent + elsewhere)
+
+
+def test_near_copies_prove_nothing(spark):
+    r = random.Random(5)
+    words = [f"w{i}x" for i in range(300)]
+    other = [" ".join(r.choices(words, k=30)) for _ in range(300)]
+    one = mentions(r, 1, words, "Zebrafish", "z@z.example.org")[0].split()
+    edited = []
+    for i in range(60):
+        w = list(one)
+        w[r.choice([j for j in range(len(w)) if j not in (15, 16)])] = f"edit{i}"
+        edited.append(" ".join(w))
+    assert "zebrafish" not in terms(spark, other + edited)
+    passage = [" ".join(r.choices(words, k=60)) + " " + " ".join(one) for _ in range(30)]  # in thirty different texts
+    assert "zebrafish" not in terms(spark, other + passage)
+
+
+def test_thousands_of_mentions_and_a_large_group(spark):
+    r = random.Random(6)
+    words = [f"w{i}x" for i in range(400)]
+    many = mentions(r, 3000, words)
+    got = terms(spark, many + [many[0]] * 500 + [" ".join(r.choices(words, k=30)) for _ in range(3000)])
+    assert set(got) == {"brunhilda"} and abs(got["brunhilda"] - 1) < 1e-9
