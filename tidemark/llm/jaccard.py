@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
 FIRST = 4
+#: Up to so many row numbers are handed to all tasks (8 bytes each), so that other rows' texts aren't shuffled.
+HANDED = 2_000_000
 
 _RANDOM = np.random.default_rng(SEED)
 _FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -81,6 +83,22 @@ def _set(text: Column, words: int) -> Column:
     return run(text)
 
 
+def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``row`` is among the wanted ones; all rows, if those are too many to hand out."""
+    wanted = wanted.select("row")
+    if wanted.count() > HANDED:
+        return texts
+    numbers = np.sort(np.fromiter((r["row"] for r in wanted.toLocalIterator()), np.int64))
+
+    @F.arrow_udf("boolean")
+    def run(row: pa.Array) -> pa.Array:
+        x = row.to_numpy()
+        at = np.minimum(np.searchsorted(numbers, x), max(0, len(numbers) - 1))
+        return pa.array(numbers[at] == x if len(numbers) else np.zeros(len(x), bool))
+
+    return texts.filter(run(F.col("row")))
+
+
 def link_bucket(nodes: list[int], sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Stars (member, root) of the components of sets that are similar enough."""
     sizes = np.array([len(s) for s in sets])
@@ -151,8 +169,8 @@ def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *mark).filter("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
     members = entries.join(buckets, ["band", "key"]).checkpoint()
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("low.row").alias("row"))
-    texts = rows.select(F.col("place.row").alias("row"), "text").join(wanted, "row")
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("low.row").alias("row")).checkpoint()
+    texts = among(rows.select(F.col("place.row").alias("row"), "text"), wanted).join(wanted, "row")
     sets = texts.select("node", _set(F.col("text"), words).alias("set")).checkpoint()
 
     first = _links(members.filter(F.col("band") < FIRST), sets, similarity).checkpoint()

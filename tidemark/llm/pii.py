@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced, texts_of
-from tidemark.llm.jaccard import near_groups
+from tidemark.llm.jaccard import among, near_groups
 from tidemark.shared import ensure_checkpoint_dir, fresh
 
 KINDS = ("email", "ip", "card", "phone")
@@ -201,7 +201,7 @@ def document_counts(docs: DataFrame, text_col: str, row: str, terms: DataFrame,
         texts = docs.select(F.col(text_col).alias("text"), F.col(row).alias("row"))
         got = texts.select("text").mapInArrow(count, "term string, n bigint")
         if copies is not None:
-            held = texts.mapInArrow(occur, "row bigint, at array<int>").join(copies, "row").select("keep", F.explode("at").alias("i"))
+            held = among(texts, copies).select("text", "row").mapInArrow(occur, "row bigint, at array<int>").join(copies, "row").select("keep", F.explode("at").alias("i"))
             held = held.groupBy("keep", "i").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.sum(1 - F.col("n")).alias("n"))
             got = got.unionAll(held.join(numbered, "i").select("term", "n"))
         out = got if out is None else out.unionAll(got)
