@@ -1,21 +1,25 @@
 """``kvbin``: files of ``[u64 key][u32 len][len bytes]``, little-endian, as a Spark data source.
 
-Planning. A file of up to ``splitBytes`` is one split, so the driver reads nothing of it. A larger file is cut at
+Planning. A file of up to ``splitBytes`` is one split, so nothing of it is read beforehand. A larger file is cut at
 record boundaries, found, in this order, from a side file ``<file>.idx`` (our writer leaves one), by arithmetic if
-``fixedLen`` is given, or by walking its headers (12 bytes a record, on the driver, once per file). Cuts are never
-guessed from the bytes in the middle of a file: payloads can look like headers.
+``fixedLen`` is given, or by walking its records. ``read_records`` walks in tasks, one for each such file, and hands the
+cuts to the reader; only the plain ``spark.read.format("kvbin")`` walks on the driver. Cuts are never guessed from the
+bytes in the middle of a file: payloads can look like headers. A side file holds the header that it found at each
+mark; a split that doesn't start with it fails, as the file isn't the one that was indexed.
 
 Modes. FAILFAST raises at the first malformed record. PREFIX keeps what stands before it and drops the rest of that
 file. PERMISSIVE does the same and adds one row with ``corrupt`` set and the offset of the bad record. The latter two
 don't trust side files or ``fixedLen``, as what is dropped depends on all that stands before.
+
+Pruning. With ``payload=false`` payloads are skipped; ``minKey`` and ``maxKey`` (bounds of ``sort_key``, included) skip
+records before their payload is copied. ``read_records(columns=...)`` sets the former by the columns asked for.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import struct
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +27,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions.unsigned import from_sort_key
 from tidemark.schema import HEADER_BYTES, MAX_LEN, MIN_LEN
+from tidemark.sources.parts import DataFile, PartWriter, data_files, filesystem, with_scheme
 
 _FLIP = np.uint64(1 << 63)
 _HEAD = struct.Struct("<QI")
@@ -46,28 +51,13 @@ _SCHEMA = pa.schema(
 _DDL = "file_id int, offset bigint, sort_key bigint, len int, payload binary, corrupt string"
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), os.path.abspath(path))
-
-
-def _data_files(fs: pafs.FileSystem, path: str) -> list[pafs.FileInfo]:
-    info = fs.get_file_info(path)
-    if info.type == pafs.FileType.File:
-        return [info]
-    if info.type == pafs.FileType.NotFound:
-        raise FileNotFoundError(path)
-    hidden = lambda p: os.path.basename(p).startswith(("_", ".")) or p.endswith(".idx")
-    found = fs.get_file_info(pafs.FileSelector(path, recursive=False))
-    return sorted((f for f in found if f.type == pafs.FileType.File and not hidden(f.path)), key=lambda f: f.path)
-
-
 @dataclass
 class Split(InputPartition):
     file: str
     start: int
     end: int
     file_id: int = 0
+    head: bytes = b""  # the header that a side file promises at the start
 
 
 @dataclass
@@ -78,6 +68,8 @@ class Rules:
     low: int = MIN_LEN
     high: int = MAX_LEN
     payload: bool = True
+    low_key: int = -(1 << 63)
+    high_key: int = (1 << 63) - 1
 
     @classmethod
     def of(cls, options) -> Rules:
@@ -91,44 +83,74 @@ class Rules:
             int(options.get("minLen", MIN_LEN)),
             int(options.get("maxLen", MAX_LEN)),
             str(options.get("payload", "true")).lower() == "true",
+            int(options.get("minKey", -(1 << 63))),
+            int(options.get("maxKey", (1 << 63) - 1)),
         )
 
-
-def record_starts(stream, size: int, rules: Rules, every: int) -> list[int]:
-    """Offsets of records about ``every`` bytes apart, from a walk over all headers; stops at a malformed one."""
-    cuts, at = [0], 0
-    while at + HEADER_BYTES <= size:
-        stream.seek(at)
-        _, n = _HEAD.unpack(stream.read(HEADER_BYTES))
-        if not rules.low <= n <= rules.high or at + HEADER_BYTES + n > size:
-            break
-        at += HEADER_BYTES + n
-        if at - cuts[-1] >= every and at < size:
+    @property
+    def all_keys(self) -> bool:
+        return self.low_key == -(1 << 63) and self.high_key == (1 << 63) - 1
+
+
+def record_starts(stream, rules: Rules, every: int) -> tuple[list[int], list[bytes]]:
+    """Offsets of records about ``every`` bytes apart and their headers, from a walk over all records, block by block;
+    stops at a malformed one."""
+    cuts, heads, at, rest = [0], [b""], 0, b""
+    while True:
+        got = stream.read(_BLOCK)
+        block = rest + got
+        starts, _, _, used, why = _parse(memoryview(block), rules)
+        i = int(np.searchsorted(starts, cuts[-1] + every - at))
+        while i < len(starts):
+            a = int(starts[i])
+            cuts.append(at + a)
+            heads.append(block[a : a + HEADER_BYTES])
+            i = int(np.searchsorted(starts, a + every))
+        at += used
+        rest = block[used:]
+        if why or not got:
+            return cuts, heads
+
+
+_MARK = np.dtype([("at", "<u8"), ("head", f"V{HEADER_BYTES}")])
+
+
+def side_file(size: int, cuts: Sequence[int], heads: Sequence[bytes]) -> bytes:
+    """Content of a side file: the size of the data file, then offset and header of each mark."""
+    marks = np.zeros(len(cuts), _MARK)
+    marks["at"] = cuts
+    marks["head"] = [np.void(h) for h in heads]
+    return struct.pack("<Q", size) + marks.tobytes()
+
+
+def _side_cuts(fs: pafs.FileSystem, file: DataFile, every: int) -> tuple[list[int], list[bytes]] | None:
+    """Cuts from a file's side file, if there is one for a file of this size."""
+    if fs.get_file_info(file.path + ".idx").type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(file.path + ".idx") as f:
+        raw = f.read()
+    if len(raw) < 8 or (len(raw) - 8) % _MARK.itemsize or struct.unpack_from("<Q", raw)[0] != file.size:
+        return None
+    cuts, heads = [0], [b""]
+    for at, head in np.frombuffer(raw, _MARK, offset=8).tolist():
+        if at - cuts[-1] >= every:
             cuts.append(at)
-    return cuts
+            heads.append(bytes(head))
+    return cuts, heads
 
 
-def _cuts(fs: pafs.FileSystem, file: pafs.FileInfo, rules: Rules) -> list[int]:
+def _cuts(fs: pafs.FileSystem, file: DataFile, rules: Rules) -> tuple[list[int], list[bytes]] | None:
+    """Where to cut a file, as far as that is known without walking it."""
     if file.size <= rules.split_bytes:
-        return [0]
+        return [0], [b""]
     if rules.mode == "FAILFAST":
-        side = fs.get_file_info(file.path + ".idx")
-        if side.type == pafs.FileType.File:
-            with fs.open_input_stream(side.path) as f:
-                marks = np.frombuffer(f.read(), "<u8")
-            if len(marks) and int(marks[0]) == file.size:
-                return _thin([0, *map(int, marks[1:])], rules.split_bytes)
+        if side := _side_cuts(fs, file, rules.split_bytes):
+            return side
         if rules.fixed_len:
             step = HEADER_BYTES + rules.fixed_len
-            return list(range(0, file.size, max(1, rules.split_bytes // step) * step))
-    with fs.open_input_file(file.path) as f:
-        return record_starts(f, file.size, rules, rules.split_bytes)
-
-
-def _thin(marks: list[int], every: int) -> list[int]:
-    out = [0]
-    out.extend(m for m in marks if m - out[-1] >= every)
-    return out
+            cuts = list(range(0, file.size, max(1, rules.split_bytes // step) * step))
+            return cuts, [b""] * len(cuts)
+    return None
 
 
 def _parse(block: memoryview, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, str]:
@@ -171,9 +193,11 @@ def _batches(split: Split, rules: Rules) -> Iterator[pa.RecordBatch]:
         while at < split.end:
             got = f.read(min(_BLOCK, split.end - at - len(rest)))
             block = rest + got
+            if at == split.start and split.head and not block.startswith(split.head):
+                raise ValueError(f"{split.file}: its side file belongs to another content (at {at})")
             starts, keys, lens, used, why = _parse(memoryview(block), rules)
             for i in range(0, len(starts), _ROWS):
-                yield _batch(split.file_id, block, at, starts[i : i + _ROWS], keys[i : i + _ROWS], lens[i : i + _ROWS], rules)
+                yield from _batch(split.file_id, block, at, starts[i : i + _ROWS], keys[i : i + _ROWS], lens[i : i + _ROWS], rules)
             at += used
             rest = block[used:]
             if not used and not why and not got:
@@ -187,22 +211,30 @@ def _batches(split: Split, rules: Rules) -> Iterator[pa.RecordBatch]:
                 return
 
 
-def _batch(file_id: int, block: bytes, base: int, starts: np.ndarray, keys: np.ndarray, lens: np.ndarray, rules: Rules) -> pa.RecordBatch:
+def _batch(file_id: int, block: bytes, base: int, starts: np.ndarray, keys: np.ndarray, lens: np.ndarray, rules: Rules) -> Iterator[pa.RecordBatch]:
+    signed = (keys ^ _FLIP).view(np.int64)
+    if not rules.all_keys:
+        some = (signed >= rules.low_key) & (signed <= rules.high_key)
+        starts, lens, signed = starts[some], lens[some], signed[some]
     n = len(starts)
+    if not n:
+        return
     payload = pa.nulls(n, pa.binary())
     if rules.payload:
         offsets = np.zeros(n + 1, np.int32)
         np.cumsum(lens, out=offsets[1:])
         data = np.frombuffer(block, np.uint8)
-        total, begin, end = int(offsets[-1]), int(starts[0]), int(starts[-1]) + HEADER_BYTES + int(lens[-1])
-        if total + n * HEADER_BYTES == end - begin:
+        begin, end = int(starts[0]), int(starts[-1]) + HEADER_BYTES + int(lens[-1])
+        if int(offsets[-1]) + n * HEADER_BYTES == end - begin:
             keep = np.ones(end - begin, bool)
             heads = (starts - begin)[:, None] + np.arange(HEADER_BYTES)
             keep[heads.ravel()] = False
             data = data[begin:end][keep]
+        else:
+            data = np.concatenate([data[a + HEADER_BYTES : a + HEADER_BYTES + m] for a, m in zip(starts.tolist(), lens.tolist(), strict=True)])
         payload = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays(
-        [pa.repeat(pa.scalar(file_id, pa.int32()), n), pa.array(starts + base), pa.array((keys ^ _FLIP).view(np.int64)), pa.array(lens), payload, pa.nulls(n, pa.string())],
+    yield pa.RecordBatch.from_arrays(
+        [pa.repeat(pa.scalar(file_id, pa.int32()), n), pa.array(starts + base), pa.array(signed), pa.array(lens), payload, pa.nulls(n, pa.string())],
         schema=_SCHEMA,
     )
 
@@ -210,15 +242,23 @@ def _batch(file_id: int, block: bytes, base: int, starts: np.ndarray, keys: np.n
 class KvReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.rules = options["path"], Rules.of(options)
+        self.known = json.loads(options.get("cuts", "{}"))
 
     def partitions(self):
         fs, path = filesystem(self.path)
-        prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
         out = []
-        for i, f in enumerate(_data_files(fs, path)):
-            if f.size:
-                cuts = _cuts(fs, f, self.rules)
-                out += [Split(prefix + f.path, a, b, i) for a, b in zip(cuts, [*cuts[1:], f.size], strict=True)]
+        for i, f in enumerate(data_files(fs, path)):
+            if not f.size:
+                continue
+            if f.path in self.known:
+                cuts = self.known[f.path]
+                heads = [b""] * len(cuts)
+            elif (found := _cuts(fs, f, self.rules)) is not None:
+                cuts, heads = found
+            else:
+                with fs.open_input_stream(f.path) as stream:
+                    cuts, heads = record_starts(stream, self.rules, self.rules.split_bytes)
+            out += [Split(with_scheme(self.path, path, f.path), a, b, i, h) for a, b, h in zip(cuts, [*cuts[1:], f.size], heads, strict=True)]
         return out or [Split("", 0, 0)]
 
     def read(self, partition):
@@ -226,14 +266,7 @@ class KvReader(DataSourceReader):
             yield from _batches(partition, self.rules)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    part: int
-    temp: str
-    rows: int
-
-
-def encode(batch: pa.RecordBatch) -> tuple[memoryview, np.ndarray]:
+def encode(batch: pa.RecordBatch, low: int = MIN_LEN, high: int = MAX_LEN) -> tuple[memoryview, np.ndarray]:
     """The bytes of a batch with ``sort_key`` and ``payload``, and each record's size. Raises on an illegal length."""
     keys = batch.column("sort_key").to_numpy(zero_copy_only=False).view(np.uint64) ^ _FLIP
     col = batch.column("payload")
@@ -243,8 +276,8 @@ def encode(batch: pa.RecordBatch) -> tuple[memoryview, np.ndarray]:
     n = len(col)
     ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
     lens = np.diff(ends)
-    if n and (lens.min() < MIN_LEN or lens.max() > MAX_LEN):
-        raise ValueError(f"payload length outside [{MIN_LEN}, {MAX_LEN}]")
+    if n and (lens.min() < low or lens.max() > high):
+        raise ValueError(f"payload length outside [{low}, {high}]")
     heads = np.empty((n, HEADER_BYTES), np.uint8)
     heads[:, :8] = keys.astype("<u8").view(np.uint8).reshape(n, 8)
     heads[:, 8:] = lens.astype("<u4").view(np.uint8).reshape(n, 4)
@@ -261,61 +294,32 @@ def encode(batch: pa.RecordBatch) -> tuple[memoryview, np.ndarray]:
     return out.data, sizes
 
 
-class KvWriter(DataSourceArrowWriter):
-    """One file a partition, named by partition number, so name order is partition order. Tasks write under a name of
-    their own; only the commit gives the final name, so a retried or lost attempt leaves no rows behind."""
+class KvWriter(PartWriter):
+    """Part files of records (see ``parts``), with a side file where one is larger than ``splitBytes``."""
+
+    suffix = ".kv"
 
     def __init__(self, options, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
-        self.mark = int(options.get("splitBytes", 128 << 20))
-
-    def write(self, iterator):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        fs, root = filesystem(self.path)
-        fs.create_dir(root, recursive=True)
-        temp = f"{root}/.part-{part:05d}-{uuid.uuid4().hex}"
-        rows, at, marks = 0, 0, []
-        with fs.open_output_stream(temp) as f:
-            for batch in iterator:
-                data, sizes = encode(batch)
-                f.write(data)
-                ends = at + np.cumsum(sizes)
-                for e in ends.tolist():
-                    if e - (marks[-1] if marks else 0) >= self.mark:
-                        marks.append(e)
-                at += len(data)
-                rows += len(sizes)
-        if marks:
-            with fs.open_output_stream(temp + ".idx") as f:
-                f.write(np.array([at, *(m for m in marks if m < at)], "<u8").tobytes())
-        return Written(part, temp, rows)
-
-    def commit(self, messages):
-        fs, root = filesystem(self.path)
-        fs.create_dir(root, recursive=True)
-        done = [m for m in messages if m is not None]
-        if self.overwrite:
-            keep = {m.temp for m in done} | {m.temp + ".idx" for m in done}
-            for f in fs.get_file_info(pafs.FileSelector(root)):
-                if f.path not in keep and f.type == pafs.FileType.File:
-                    fs.delete_file(f.path)
-        for m in done:
-            name = f"{root}/part-{m.part:05d}.kv"
-            if fs.get_file_info(m.temp + ".idx").type == pafs.FileType.File:
-                fs.move(m.temp + ".idx", name + ".idx")
-            fs.move(m.temp, name)
-        with fs.open_output_stream(f"{root}/_SUCCESS") as f:
-            f.write(str(sum(m.rows for m in done)).encode())
-
-    def abort(self, messages):
-        fs, _ = filesystem(self.path)
-        for m in messages:
-            if m is not None:
-                for x in (m.temp, m.temp + ".idx"):
-                    if fs.get_file_info(x).type == pafs.FileType.File:
-                        fs.delete_file(x)
+        super().__init__(options, overwrite)
+        self.rules = Rules.of(options)
+        self.side = str(options.get("sideFiles", "true")).lower() == "true"
+
+    def write_stream(self, out, batches):
+        rows, at, last, cuts, heads = 0, 0, 0, [], []
+        for batch in batches:
+            data, sizes = encode(batch, self.rules.low, self.rules.high)
+            out.write(data)
+            starts = np.cumsum(sizes) - sizes
+            i = int(np.searchsorted(starts, last + self.rules.split_bytes - at))
+            while i < len(starts):
+                a = int(starts[i])
+                last = at + a
+                cuts.append(last)
+                heads.append(bytes(data[a : a + HEADER_BYTES]))
+                i = int(np.searchsorted(starts, a + self.rules.split_bytes))
+            at += len(data)
+            rows += len(sizes)
+        return at, rows, side_file(at, cuts, heads) if cuts and self.side else b""
 
 
 class KvBin(DataSource):
@@ -333,30 +337,57 @@ class KvBin(DataSource):
         return KvWriter(self.options, overwrite)
 
 
-def read_records(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Records of a file or folder, with their file's number in name order and their offset (the natural tie-breaker)."""
+def unindexed(path: str, rules: Rules) -> list[DataFile]:
+    """Files that must be walked before they can be split."""
+    fs, p = filesystem(path)
+    return [f for f in data_files(fs, p) if f.size and _cuts(fs, f, rules) is None]
+
+
+def walk_files(spark: SparkSession, path: str, files: Sequence[DataFile], rules: Rules, store: bool = False) -> dict[str, list[int]]:
+    """Cuts of each file, found by one task a file; ``store`` leaves them in side files."""
+    _, inside = filesystem(path)
+
+    def run(batches):
+        for b in batches:
+            for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs, p = filesystem(with_scheme(path, inside, name))
+                with fs.open_input_stream(p) as stream:
+                    cuts, heads = record_starts(stream, rules, rules.split_bytes)
+                if store:
+                    with fs.open_output_stream(p + ".idx") as f:
+                        f.write(side_file(size, cuts[1:], heads[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([cuts], pa.list_(pa.int64()))], names=["file", "cuts"])
+
+    listed = spark.createDataFrame([(f.path, f.size) for f in files], "file string, size bigint").repartition(len(files))
+    return {r["file"]: r["cuts"] for r in listed.mapInArrow(run, "file string, cuts array<bigint>").collect()}
+
+
+def index_files(spark: SparkSession, path: str, **options) -> int:
+    """Leave a side file beside each data file that has none and is larger than ``splitBytes``; returns how many."""
+    rules = Rules.of(options)
+    files = unindexed(path, rules)
+    if files:
+        walk_files(spark, path, files, rules, store=True)
+    return len(files)
+
+
+def read_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """Records of a file or folder, with their file's number in name order and their offset (the natural tie-breaker).
+
+    ``columns`` picks among file_id, offset, sort_key, key, len, payload and corrupt; payloads are only read if asked for.
+    """
     spark.dataSource.register(KvBin)
+    if columns is not None and "payload" not in columns:
+        options["payload"] = "false"
+    rules = Rules.of(options)
+    if "cuts" not in options and (files := unindexed(path, rules)):
+        options["cuts"] = json.dumps(walk_files(spark, path, files, rules))
     df = spark.read.format("kvbin").options(path=path, **options).load()
-    return df.withColumn("key", from_sort_key(F.col("sort_key")))
+    df = df.withColumn("key", from_sort_key(F.col("sort_key")))
+    return df if columns is None else df.select(*columns)
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
-    """Write ``sort_key`` and ``payload`` in partition order."""
+    """Write ``sort_key`` and ``payload`` in partition order; ``append`` adds files behind those that are there."""
     df.sparkSession.dataSource.register(KvBin)
     df.select("sort_key", "payload").write.format("kvbin").mode(mode).options(path=path, **options).save()
-
-
-def delete_path(path: str) -> bool:
-    """Delete a file or folder; False if there is none."""
-    fs, p = filesystem(path)
-    kind = fs.get_file_info(p).type
-    if kind == pafs.FileType.NotFound:
-        return False
-    (fs.delete_dir if kind == pafs.FileType.Directory else fs.delete_file)(p)
-    return True
-
-
-def file_bytes(path: str) -> int:
-    """Bytes of a file, or of the data files of a folder."""
-    fs, p = filesystem(path)
-    return sum(f.size for f in _data_files(fs, p))
