@@ -8,13 +8,15 @@ import sys
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.analytics import Phases
-from tidemark.operators.merge import write_ordered
+from tidemark.operators.merge import merge_runs, write_ordered
 from tidemark.operators.verify import compare_files, equal_bag, verify_records
 from tidemark.plans import chunking
 from tidemark.schema import HEADER_BYTES
 from tidemark.sources import gen, kvbin
+from tidemark.sources.parts import delete_path, file_bytes
 
 
 def output_name(path: str, tag: str = "sorted") -> str:
@@ -31,14 +33,14 @@ def session(threads: int) -> SparkSession:
 def _sort(a, spark) -> int:
     out = a.output or output_name(a.file)
     clock = Phases()
-    split = max(1 << 20, chunking.threaded_chunk(max(1, kvbin.file_bytes(a.file)), a.mb << 20, a.threads))
+    split = max(1 << 20, chunking.threaded_chunk(max(1, file_bytes(a.file)), a.mb << 20, a.threads))
     with clock.phase("sort"):
-        df = kvbin.read_records(spark, a.file, splitBytes=split).select("sort_key", "file_id", "offset", "payload")
+        df = kvbin.read_records(spark, a.file, ["sort_key", "file_id", "offset", "payload"], splitBytes=split)
         write_ordered(df, out, ["sort_key"], ["file_id", "offset"], fmt="kvbin", single_file=a.single)
     if a.command == "benchmark":
         print(f"File={a.file} Threads={a.threads} Memory={a.mb} Time={clock.total:.4f}")
         if not a.keep:
-            kvbin.delete_path(out)
+            delete_path(out)
         return 0
     order = verify_records(spark, out)
     same = equal_bag(*[kvbin.read_records(spark, p).select("sort_key", "payload") for p in (a.file, out)])
@@ -68,13 +70,16 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--output")
         c.add_argument("--single", action="store_true", help="one output file")
         c.add_argument("--keep", action="store_true", help="keep the output of a benchmark")
+    c = sub.add_parser("merge", help="sorted record files into one ordered output")
+    c.add_argument("output")
+    c.add_argument("runs", nargs="+")
     c = sub.add_parser("plan")
     c.add_argument("file")
     c.add_argument("threads", type=int, nargs="?", default=4)
     a = p.parse_args(argv)
 
     if a.command == "delete":
-        return int(not kvbin.delete_path(a.file))
+        return int(not delete_path(a.file))
     spark = session(getattr(a, "threads", 4))
     try:
         if a.command in ("gen_count", "gen_size"):
@@ -89,11 +94,16 @@ def main(argv: list[str] | None = None) -> int:
             same = compare_files(spark, a.file, a.other)
             print("equal" if same else "different")
             return int(not same)
+        if a.command == "merge":
+            columns = ["sort_key", "payload", "file_id", "offset"]
+            runs = [kvbin.read_records(spark, p, columns).withColumn("run", F.lit(i)) for i, p in enumerate(a.runs)]
+            kvbin.write_records(merge_runs(runs, ["sort_key"], ["run", "file_id", "offset"]), a.output)
+            order = verify_records(spark, a.output)
+            print(f"{'PASS' if order.ok else 'FAIL'}: {order.rows} records; {a.output}")
+            return int(not order.ok)
         if a.command == "plan":
-            from pyspark.sql import functions as F
-
-            sizes = kvbin.read_records(spark, a.file, payload="false").select((F.col("len") + HEADER_BYTES).alias("size"))
-            plan = chunking.plan_chunks(kvbin.file_bytes(a.file), chunking.size_stats(sizes).first(), chunking.preset(a.threads))
+            sizes = kvbin.read_records(spark, a.file, ["file_id", "offset", "len"]).select("file_id", "offset", (F.col("len") + HEADER_BYTES).cast("bigint").alias("size"))
+            plan = chunking.plan_chunks(sizes, ["file_id", "offset"], "size", chunking.preset(a.threads), [])
             print(f"chunk {plan.chunk_bytes} bytes, {len(plan.chunks)} chunks, fan-out {plan.fanout}, io bound {plan.io_bound}")
             return 0
         return _sort(a, spark)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.sort import with_position
+from tidemark.shared import fresh
 
 
 @dataclass
@@ -24,10 +25,14 @@ class Order:
 
 
 def _less(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """a < b and a = b, nulls first and equal to each other."""
-    na, nb = pc.is_null(a).to_numpy(zero_copy_only=False), pc.is_null(b).to_numpy(zero_copy_only=False)
-    lt = pc.fill_null(pc.less(a, b), False).to_numpy(zero_copy_only=False)
-    eq = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+    """a < b and a = b. Nulls stand first, NaN last; both are equal to themselves, as in Spark's sort."""
+    flags = lambda x: x.to_numpy(zero_copy_only=False)
+    lt = flags(pc.fill_null(pc.less(a, b), False))
+    eq = flags(pc.fill_null(pc.equal(a, b), False))
+    if pa.types.is_floating(a.type):
+        xa, xb = (flags(pc.fill_null(pc.is_nan(x), False)) for x in (a, b))
+        lt, eq = np.where(xa | xb, ~xa & xb, lt), np.where(xa | xb, xa & xb, eq)
+    na, nb = flags(pc.is_null(a)), flags(pc.is_null(b))
     return np.where(na | nb, na & ~nb, lt), np.where(na | nb, na & nb, eq)
 
 
@@ -84,7 +89,7 @@ def verify_sorted(df: DataFrame, keys: Sequence[str], expected_rows: int | None
     rows = sorted(partition_summary(df, keys).collect(), key=lambda r: r["part"])
     before = bad = 0
     first = hi = None
-    flat = lambda s: [(v is not None, v) for v in s]
+    flat = lambda s: [(0 if v is None else 2 if v != v else 1, v) for v in s]
     for r in rows:
         lo = flat(r["lo"])
         if hi is not None and _tuple_less(lo, hi):
@@ -100,32 +105,35 @@ def verify_sorted(df: DataFrame, keys: Sequence[str], expected_rows: int | None
 
 
 def _tuple_less(a, b) -> bool:
-    for (pa_, va), (pb_, vb) in zip(a, b, strict=True):
-        if pa_ != pb_:
-            return pa_ < pb_
-        if pa_ and va != vb:
+    """Order of keys whose parts are (0, null), (1, value) or (2, NaN)."""
+    for (ka, va), (kb, vb) in zip(a, b, strict=True):
+        if ka != kb:
+            return ka < kb
+        if ka == 1 and va != vb:
             return va < vb
     return False
 
 
 def verify_records(spark, path: str, **options) -> Order:
-    """Order of a record file, or of a folder's files in name order. Malformed bytes fail instead of ending the scan."""
+    """Order of a record file, or of a folder's files in their order. Malformed bytes fail instead of ending the scan."""
     from tidemark.sources.kvbin import read_records
 
-    return verify_sorted(read_records(spark, path, payload="false", **options), ["sort_key"])
+    return verify_sorted(read_records(spark, path, ["sort_key"], **options), ["sort_key"])
 
 
-def verify_ints(spark, path: str) -> Order:
+def verify_ints(spark, path: str, **options) -> Order:
     from tidemark.sources.ints import read_ints
 
-    return verify_sorted(read_ints(spark, path), ["value"])
+    return verify_sorted(read_ints(spark, path, **options), ["value"])
 
 
 def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows whose multiplicity differs, with ``surplus`` = count in a less count in b: one exchange, partial counts."""
-    cols = a.columns
-    both = a.select(*cols, F.lit(1).alias("__w")).unionAll(b.select(*cols, F.lit(-1).alias("__w")))
-    return both.groupBy(*cols).agg(F.sum("__w").cast("bigint").alias("surplus")).filter("surplus <> 0")
+    """Rows whose multiplicity differs, with ``surplus`` (``surplus_`` if there is such a column) = count in a less count
+    in b: one exchange, partial counts."""
+    weight, surplus = fresh(a, "__w", "surplus")
+    cols = [f"`{c}`" for c in a.columns]
+    both = a.select(*cols, F.lit(1).alias(weight)).unionAll(b.select(*cols, F.lit(-1).alias(weight)))
+    return both.groupBy(*cols).agg(F.sum(weight).cast("bigint").alias(surplus)).filter(F.col(surplus) != 0)
 
 
 def equal_bag(a: DataFrame, b: DataFrame) -> bool:
@@ -134,8 +142,8 @@ def equal_bag(a: DataFrame, b: DataFrame) -> bool:
 
 
 def ordered_mismatches(a: DataFrame, b: DataFrame, pos: str = "pos") -> DataFrame:
-    """Positions at which the two relations differ or only one has a row."""
-    others = [c for c in a.columns if c != pos]
+    """Positions at which the two relations differ or only one has a row: pos, and both rows as structs l and r."""
+    others = [f"`{c}`" for c in a.columns if c != pos]
     left = a.select(pos, F.struct(*others).alias("l"))
     right = b.select(pos, F.struct(*others).alias("r"))
     joined = left.join(right, pos, "full_outer")

@@ -1,19 +1,27 @@
 """Split planning: record-size statistics in Spark, chunk-size rules and chunk lists in plain Python.
 
 Spark places its own splits; these planners answer "how would N workers with M bytes cut this input" and feed
-``splitBytes`` of the record source. They work on statistics or on one number per chunk, never on the rows.
+``splitBytes`` of the record source. The driver works on statistics and on one number per chunk or partition, never on
+the rows; chunks are made of whole records.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.sort import with_position, with_prefix
+from tidemark.operators.sort import global_sort, stored, with_position, with_prefix
+from tidemark.shared import fresh, shared_dir
+from tidemark.sources.parts import filesystem
 
 MIB = 1 << 20
 GIB = 1 << 30
@@ -129,6 +137,127 @@ def pack_bytes(sizes: Iterable[int], target: int) -> list[Chunk]:
     return out
 
 
+class _Longs:
+    """Longs of a file, read one at a time."""
+
+    def __init__(self, stream, first: int, n: int):
+        self.f, self.first, self.n = stream, first, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> int:
+        self.f.seek(8 * (self.first + i))
+        return int.from_bytes(self.f.read(8), "little")
+
+
+def _steps(cum: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row that can be the first to close a chunk in its partition (one within the first ``target`` bytes): the
+    bytes left open at the partition's end, and how many chunks are closed in it."""
+    n = int(np.searchsorted(cum, target)) + 1
+    at = np.arange(min(n, len(cum)))
+    last, count = at.copy(), np.ones(len(at), np.int64)
+    live = np.arange(len(at))
+    while len(live):
+        # Paths that have met stay together, so each row is looked up once.
+        own, back = np.unique(last[live], return_inverse=True)
+        after = np.searchsorted(cum, cum[own] + target)[back]
+        on = after < len(cum)
+        live = live[on]
+        last[live] = after[on]
+        count[live] += 1
+    return cum[-1] - cum[last], count
+
+
+def greedy_chunks(df: DataFrame, keys: Sequence[str], size: str, target: int, tie: Sequence[str] | None = None, name: str = "chunk_id") -> DataFrame:
+    """:func:`pack_bytes` over the rows in sort order: adds the 1-based chunk of each row.
+
+    Where a chunk closes depends on all rows before, but of these only on the bytes left open. So each sorted partition
+    writes its running bytes and, for every row that can be the first to close a chunk in it, what is then left open at
+    its end; the driver walks over partitions (a binary search in each one's file), and each partition then finds its
+    own closing rows. Rows are shuffled once, by the sort.
+    """
+    spark = df.sparkSession
+    part, at, file, base, ends = fresh(df, "__part", "__at", "__file", "__base", "__ends")
+    folder = shared_dir(spark, "chunks")
+    column = df.columns.index(size)
+    mid = F.monotonically_increasing_id()
+    placed = global_sort(df, keys, tie).withColumn(part, F.shiftright(mid, 33)).withColumn(at, mid.bitwiseAND((1 << 33) - 1))
+
+    def running(batches):
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        own, total, out = uuid.uuid4().hex, 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = out or fs.open_output_stream(f"{root}/{own}")
+            cum = total + np.cumsum(b.column(column).cast(pa.int64()).fill_null(0).to_numpy())
+            total = int(cum[-1])
+            out.write(cum.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.repeat(pa.scalar(own), b.num_rows)], names=[*b.schema.names, file])
+        if out is not None:
+            out.close()
+
+    placed = stored(placed.mapInArrow(running, T.StructType([*placed.schema.fields, T.StructField(file, T.StringType())])), "ordered")
+    parts = placed.groupBy(part, file).agg(F.count(F.lit(1)).alias("n")).orderBy(part).collect()
+    if not parts:
+        return placed.withColumn(name, F.lit(None).cast("bigint")).drop(part, at, file)
+
+    def steps(batches):
+        fs, root = filesystem(folder)
+        for b in batches:
+            for own in b.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{own}") as f:
+                    cum = np.frombuffer(f.read(), "<i8")
+                left, count = _steps(cum, target)
+                to = f"{own}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(f"{root}/{to}") as f:
+                    f.write(np.concatenate([cum[: len(left)], left, count]).astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([to]), pa.array([len(left)], pa.int64()), pa.array([int(cum[-1])], pa.int64())], names=["file", "steps", "m", "bytes"])
+
+    def closing(batches):
+        fs, root = filesystem(folder)
+        for b in batches:
+            for p, own, before, open_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with fs.open_input_stream(f"{root}/{own}") as f:
+                    cum = np.frombuffer(f.read(), "<i8")
+                rows, need = [], target - open_
+                while (i := int(np.searchsorted(cum, need))) < len(cum):
+                    rows.append(i)
+                    need = int(cum[i]) + target
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([before], pa.int64()), pa.array([rows], pa.list_(pa.int64()))], names=[part, base, ends])
+
+    one_each = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(len(parts))
+    found = {r["file"]: r for r in one_each([(r[file],) for r in parts], "file string").mapInArrow(steps, "file string, steps string, m bigint, bytes bigint").collect()}
+    fs, root = filesystem(folder)
+    open_, closed, states = 0, 0, []
+    for r in parts:
+        states.append((r[part], r[file], closed, open_))
+        own = found[r[file]]
+        if open_ + own["bytes"] < target:
+            open_ += own["bytes"]
+            continue
+        with fs.open_input_file(f"{root}/{own['steps']}") as f:
+            m = own["m"]
+            i = bisect.bisect_left(_Longs(f, 0, m), target - open_)
+            open_ = _Longs(f, m, m)[i]
+            closed += _Longs(f, 2 * m, m)[i]
+    of = one_each(states, "part bigint, file string, closed bigint, open bigint").mapInArrow(closing, f"`{part}` bigint, `{base}` bigint, `{ends}` array<bigint>")
+    out = placed.join(of, part)
+    earlier = F.size(F.filter(ends, lambda e: e < F.col(at)))
+    return out.withColumn(name, (F.col(base) + 1 + earlier).cast("bigint")).drop(part, at, file, base, ends)
+
+
+def chunk_list(rows: DataFrame, size: str, name: str = "chunk_id") -> list[Chunk]:
+    """The chunks of :func:`greedy_chunks`, one row each to the driver."""
+    out, start = [], 0
+    for r in rows.groupBy(name).agg(F.sum(size).cast("bigint").alias("b"), F.count(F.lit(1)).alias("n")).orderBy(name).collect():
+        out.append(Chunk(start, r["b"], r["n"]))
+        start += r["b"]
+    return out
+
+
 def balance(chunks: Sequence[Chunk]) -> list[Chunk]:
     """If a chunk is over 20 % off the mean, join each small one with its neighbour where the two stay below 1.5 means."""
     if len(chunks) < 2:
@@ -156,9 +285,9 @@ def size_stats(sizes: DataFrame, column: str = "size") -> DataFrame:
     s = sizes.agg(F.count(column).alias("n"), F.sum(x).alias("s1"), F.sum((x * x).cast("decimal(38,0)")).alias("s2"), F.min(column).cast("bigint").alias("min_size"), F.max(column).cast("bigint").alias("max_size"))
     avg = F.expr("cast(s1 as decimal(38,0)) div n").cast("bigint")
     s = s.withColumn("avg_size", avg)
-    m = F.col("avg_size").cast("double")
-    var = F.col("s2").cast("double") / F.col("n") - 2 * m * F.col("s1").cast("double") / F.col("n") + m * m
-    return s.select("n", "avg_size", "min_size", "max_size", var.alias("size_variance"))
+    # Exact up to the one division: sum((x - m)^2) = s2 - 2 m s1 + n m m.
+    whole = F.expr("cast(s2 as decimal(38,0)) - cast(2 * cast(avg_size as decimal(19,0)) as decimal(19,0)) * cast(s1 as decimal(19,0)) + cast(n as decimal(19,0)) * cast(cast(avg_size as decimal(19,0)) * cast(avg_size as decimal(19,0)) as decimal(38,0))")
+    return s.select("n", "avg_size", "min_size", "max_size", (whole.cast("double") / F.col("n")).alias("size_variance"))
 
 
 def systematic_sample(df: DataFrame, keys: Sequence[str], every: int, tie: Sequence[str] | None = None) -> DataFrame:
@@ -169,7 +298,7 @@ def systematic_sample(df: DataFrame, keys: Sequence[str], every: int, tie: Seque
 def even_split(df: DataFrame, chunks: int, keys: Sequence[str], tie: Sequence[str] | None = None) -> DataFrame:
     """NTILE without a single-partition window: the first ``n % chunks`` chunks get one row more."""
     placed = with_position(df, keys, tie)
-    n = df.count()
+    n = placed.count()
     q, r = divmod(n, chunks)
     p = F.col("pos") - 1
     if q == 0:
@@ -196,14 +325,27 @@ class Plan:
     io_bound: bool
 
 
-def plan_chunks(total: int, stats, cfg: Config) -> Plan:
-    """Statistics -> chunk size -> chunk list -> balance; ``stats`` is the row of :func:`size_stats`."""
+def plan_size(total: int, stats, cfg: Config) -> tuple[int, bool]:
+    """Chunk size and I/O-boundness from total bytes and the row of :func:`size_stats`."""
     avg = max(1, int(stats["avg_size"] or 1))
     chunk = adaptive_chunk(total, avg, cfg)
     bound = bool(io_bound(avg, float(stats["size_variance"] or 0)))
     if bound:
         chunk = min(int(chunk * 1.5), cfg.max_chunk)
-    chunk = even_count_chunk(total, max(1, chunk), cfg)
-    n = ceil_div(total, chunk)
-    chunks = [Chunk(i * chunk, min(chunk, total - i * chunk), ceil_div(min(chunk, total - i * chunk), avg)) for i in range(n)]
+    return even_count_chunk(total, max(1, chunk), cfg), bound
+
+
+def plan_chunks(df: DataFrame, keys: Sequence[str], size: str, cfg: Config, tie: Sequence[str] | None = None) -> Plan:
+    """Statistics -> chunk size -> chunks of whole records, in order of ``keys`` -> balance.
+
+    ``size`` is the column of record sizes. Starts and record counts are exact; rows stay where they are, only one row a
+    chunk comes to the driver.
+    """
+    df = df.withColumn(size, F.col(size).cast("bigint"))
+    stats = size_stats(df, size).first()
+    total = df.agg(F.sum(size)).first()[0] or 0
+    if not total:
+        return Plan(0, [], 0, False)
+    chunk, bound = plan_size(total, stats, cfg)
+    chunks = chunk_list(greedy_chunks(df, keys, size, chunk, tie), size)
     return Plan(chunk, balance(chunks) if cfg.balance else chunks, merge_fanout(len(chunks), cfg.memory), bound)
