@@ -29,7 +29,10 @@ def test_pack_and_balance():
     got = c.pack_bytes([40, 40, 40, 10], 60)
     assert [(x.start, x.length, x.records) for x in got] == [(0, 80, 2), (80, 50, 2)]
     b = c.balance([c.Chunk(0, 10, 1), c.Chunk(10, 100, 1), c.Chunk(110, 100, 1)])
-    assert [x.length for x in b] == [10, 100, 100] or [x.length for x in b] == [110, 100]
+    # The mean is 70: 10 is small, but 10 + 100 is over 1.5 means, so nothing is joined.
+    assert [x.length for x in b] == [10, 100, 100]
+    joined = c.balance([c.Chunk(0, 10, 1), c.Chunk(10, 90, 2), c.Chunk(100, 110, 3), c.Chunk(210, 90, 4)])
+    assert joined == [c.Chunk(0, 100, 3), c.Chunk(100, 110, 3), c.Chunk(210, 90, 4)]
     even = [c.Chunk(0, 100, 1), c.Chunk(100, 101, 1)]
     assert c.balance(even) == even
 
@@ -39,8 +42,10 @@ def test_plan(spark):
     row = c.size_stats(sizes).first()
     assert (row["n"], row["avg_size"], row["min_size"], row["max_size"]) == (1000, 69, 20, 119)
     assert abs(row["size_variance"] - sum((x % 100 + 20 - 69) ** 2 for x in range(1000)) / 1000) < 1e-6
-    plan = c.plan_chunks(10 << 30, row, c.preset(8, 4 << 30))
-    assert len(plan.chunks) % 2 == 0 and sum(x.length for x in plan.chunks) == 10 << 30
+    chunk, bound = c.plan_size(10 << 30, row, c.preset(8, 4 << 30))
+    assert bound and c.ceil_div(10 << 30, chunk) % 2 == 0
+    big = c.size_stats(spark.range(1000).select((F.col("id") % 100 + 2**40).alias("size"))).first()
+    assert abs(big["size_variance"] - 833.5) < 1e-6  # exact, however large the sizes
 
 
 def test_even_split_small(spark):

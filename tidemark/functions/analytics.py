@@ -69,6 +69,16 @@ def dataset_union(frames: Sequence[DataFrame], column: str) -> DataFrame:
     return out.distinct().orderBy(column)
 
 
+def datasets(frame: DataFrame, column: str) -> list:
+    """The distinct dataset names of a result table (a few), sorted."""
+    return [r[0] for r in frame.select(column).distinct().orderBy(column).collect()]
+
+
+def of_dataset(frame: DataFrame, column: str, name) -> DataFrame:
+    """Rows of one dataset."""
+    return frame.filter(F.col(column).eqNullSafe(F.lit(name)))
+
+
 def has_dataset(frame: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """Rows whose dataset is in ``names``."""
     return frame.join(names, column, "left_semi")

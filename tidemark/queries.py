@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import analytics
+from tidemark import queries_records
+from tidemark.functions import analytics, timings
 from tidemark.operators import merge, sort, verify
 from tidemark.plans import chunking
-from tidemark.schema import as_records, in_domain
+from tidemark.schema import as_records, in_domain, record_bytes
+from tidemark.shared import shared_dir
 
 LINEITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 _LI = ", ".join(LINEITEM)
@@ -36,14 +38,15 @@ def topk(spark, d):
     return sort.top_k(df, 100, ["o_totalprice", "o_orderkey"], [], descending=["o_totalprice"])
 
 
-def local_runs(spark, d):
+def runs_by_key(spark, d):
     return sort.runs_by_key(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 8, ["o_custkey", "o_totalprice"])
 
 
 def merge_runs(spark, d):
-    df = table(spark, d, "lineitem").select(*LINEITEM)
-    small = F.coalesce(F.col("l_quantity") <= 25, F.lit(False))
-    return sort.with_position(merge.union_bag([df.filter(small), df.filter(~small)]), LINEITEM)
+    """Sorted runs, stored as the first pass of an external sort leaves them, and merged."""
+    runs = sort.local_runs(table(spark, d, "lineitem").select(*LINEITEM), 4, LINEITEM, [])
+    merged = merge.merge_runs(sort.store_runs(runs, shared_dir(spark, "runs")), LINEITEM, [])
+    return sort.with_position(merged, LINEITEM)
 
 
 def union_bag(spark, d):
@@ -90,7 +93,7 @@ def filter_domain(spark, d):
 
 def record_size(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", (F.octet_length("text") + 12).cast("bigint").alias("total_size"))
+    return docs.select("doc_id", record_bytes(F.col("text")).alias("total_size"))
 
 
 def size_stats(spark, d):
@@ -108,12 +111,6 @@ def even_split(spark, d):
     return out.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
 
 
-def pack_bytes(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", (F.octet_length("text") + 12).alias("sz"))
-    r = chunking.running_bytes(docs, ["doc_id"], F.col("sz"))
-    return r.select("doc_id", F.floor((F.col("running_bytes") - F.col("size")) / 65536).cast("bigint").alias("chunk_id"))
-
-
 def round_robin(spark, d):
     p = sort.with_position(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"])
     return p.select(chunking.round_robin(F.col("pos"), 3).alias("worker"), "s_suppkey")
@@ -137,14 +134,15 @@ def io_bound(spark, d):
     return g.select("lang", chunking.io_bound(F.col("a"), F.col("v")).alias("io_bound"))
 
 
-# A small set of published timings (file, units, seconds) for the analytics queries.
-_TIMES = [("data/data_10M_p64.bin", 1, 12.7648), ("data/data_10M_p64.bin", 8, 4.53449), ("data/data_50M_p64.bin", 16, 24.8425), ("data/none.bin", 4, 1.5)]
-_SEQ = [("data/data_10M_p64.bin", 52.2425), ("data/data_50M_p64.bin", 241.857)]
 _LOG = [("a", 1, "starting"), ("a", 2, "[X] File=data/a.bin Threads=4 Memory=512 Time=3.25"), ("b", 1, "Time=9.5 early"), ("b", 2, "failed")]
 
 
 def _times(spark):
-    return spark.createDataFrame(_TIMES, "file string, units int, time double")
+    return spark.createDataFrame(timings.farm, "file string, units int, memory int, time double")
+
+
+def _sequential(spark):
+    return spark.createDataFrame(timings.sequential, "file string, time double")
 
 
 def _values(rows) -> str:
@@ -152,8 +150,7 @@ def _values(rows) -> str:
 
 
 def speedup_join(spark, d):
-    seq = spark.createDataFrame(_SEQ, "file string, time double")
-    out = analytics.speedup(_times(spark), seq, "file", "time", "units")
+    out = analytics.speedup(_times(spark), _sequential(spark), "file", "time", "units")
     return out.select("file", "units", "speedup", "efficiency", analytics.dataset_name(F.col("file")).alias("dataset"))
 
 
@@ -174,8 +171,58 @@ def sweep_grid(spark, d):
 
 
 def mean_per_cores(spark, d):
-    g = analytics.sweep(spark, procs=[1, 2, 4, 8], threads=[16, 8, 4, 1]).withColumn("t", F.col("procs") * 2.0 + F.col("threads"))
-    return analytics.mean_per(g.withColumn("cores", F.col("procs") * F.col("threads")), ["cores"], "t")
+    g = spark.createDataFrame(timings.grid, "procs int, threads int, t double")
+    out = analytics.mean_per(g.withColumn("cores", analytics.total_cores(F.col("procs"), F.col("threads"))), ["cores"], "t")
+    return out.select("cores", F.round("mean_time", 6).alias("mean_time"))
+
+
+def paired_lists(spark, d):
+    files = sorted({r[0] for r in timings.farm})
+    return analytics.pair_lists(spark, file=files, memory=[512, 2048, 1024])
+
+
+def dataset_names(spark, d):
+    name = lambda df: df.select(analytics.dataset_name(F.col("file")).alias("dataset"), "time")
+    both = [name(_times(spark)), name(_sequential(spark))]
+    timed = analytics.has_dataset(both[0], both[1].select("dataset").distinct(), "dataset").groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    return analytics.dataset_union(both, "dataset").join(timed, "dataset", "left")
+
+
+def one_dataset(spark, d):
+    """Distinct datasets, and for each the rows of it alone."""
+    t = _times(spark).select(analytics.dataset_name(F.col("file")).alias("dataset"), "units", "time")
+    names = analytics.datasets(t, "dataset")
+    return merge.union_bag([analytics.of_dataset(t, "dataset", n).agg(F.min("time").alias("best"), F.min_by("units", F.struct("time", "units")).alias("units")).select(F.lit(n).alias("dataset"), "best", "units") for n in names])
+
+
+def results_csv(spark, d):
+    """Results appended to a CSV in two writes, and read back."""
+    path = shared_dir(spark, "csv")
+    analytics.append_results(_times(spark).filter("units <= 8"), path)
+    analytics.append_results(_times(spark).filter("units > 8"), path)
+    return analytics.read_results(spark, path, "file string, units int, memory int, time double")
+
+
+def table_print(spark, d):
+    return analytics.show_table(_times(spark).select("file", "units", F.col("time").alias("seconds")), ["seconds"])
+
+
+def phase_times(spark, d):
+    """Wall times of the phases of a sort: one row a phase, and whether they add up."""
+    clock = analytics.Phases()
+    path = shared_dir(spark, "runs")
+    with clock.phase("runs"):
+        runs = sort.store_runs(sort.local_runs(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 4, ["o_custkey"], ["o_orderkey"]), path)
+    with clock.phase("merge"):
+        n = merge.merge_runs(runs, ["o_custkey"], ["o_orderkey"]).count()
+    rows = [(p, n, s > 0 and s <= clock.total) for p, s in clock.seconds.items()]
+    return spark.createDataFrame(rows, "phase string, n bigint, timed boolean")
+
+
+def output_names(spark, d):
+    from tidemark.cli import output_name
+
+    return spark.createDataFrame([(f, output_name(f)) for f in sorted({r[0] for r in timings.farm})], "file string, output string")
 
 
 def rank_in_group(spark, d):
@@ -184,7 +231,7 @@ def rank_in_group(spark, d):
     return out.select("l_returnflag", "rn", "l_orderkey", "l_linenumber")
 
 
-QUERIES = {f.__name__: f for f in (sort_full, sort_events_dupkeys, sort_desc_multi, topk, local_runs, merge_runs, union_bag, compare_bag, compare_ordered, verify_sorted, record_projection, filter_domain, record_size, size_stats, running_bytes, even_split, pack_bytes, round_robin, systematic_sample, dup_keys, key_ranges, io_bound, speedup_join, first_value_baseline, log_regex, sweep_grid, mean_per_cores, rank_in_group)}
+QUERIES = {f.__name__: f for f in (sort_full, sort_events_dupkeys, sort_desc_multi, topk, runs_by_key, merge_runs, union_bag, compare_bag, compare_ordered, verify_sorted, record_projection, filter_domain, record_size, size_stats, running_bytes, even_split, round_robin, systematic_sample, dup_keys, key_ranges, io_bound, speedup_join, first_value_baseline, log_regex, sweep_grid, mean_per_cores, paired_lists, dataset_names, one_dataset, results_csv, table_print, phase_times, output_names, rank_in_group)} | queries_records.QUERIES
 
 _ORDER_ALL = f"SELECT {_LI}, row_number() OVER (ORDER BY {', '.join(c + ' NULLS FIRST' for c in LINEITEM)}) AS pos FROM lineitem"
 _SIZES = "SELECT doc_id, CAST(strlen(text) + 12 AS BIGINT) AS size FROM documents"
@@ -192,13 +239,17 @@ _RUNNING = f"SELECT doc_id, size, CAST(sum(size) OVER (ORDER BY doc_id ROWS UNBO
 _EVENTS = "SELECT user_id, event_id, event_type, row_number() OVER (ORDER BY user_id, event_id{}) AS pos FROM events"
 _GRID = "(VALUES (1),(2),(4),(8)) a(procs), (VALUES (16),(8),(4),(1)) b(threads)"
 
-ORACLE = {
+_FARM = f"(SELECT file, units, memory, CAST(time AS DOUBLE) AS time FROM (VALUES {_values(timings.farm)}) v(file, units, memory, time)) t"
+_SEQ = f"(SELECT file, CAST(time AS DOUBLE) AS time FROM (VALUES {_values(timings.sequential)}) v(file, time)) s"
+_NAME = "nullif(regexp_extract(file, 'data/(.*)\\.bin', 1), '')"
+
+ORACLE = queries_records.ORACLE | {
     "sort_full": _ORDER_ALL,
     "merge_runs": _ORDER_ALL,
     "sort_events_dupkeys": _EVENTS.format(""),
     "sort_desc_multi": "SELECT o_totalprice, o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey, o_custkey) AS pos FROM orders",
     "topk": "SELECT o_totalprice, o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
-    "local_runs": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 8 AS run_id, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey, o_custkey, o_totalprice) AS rank FROM orders",
+    "runs_by_key": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 8 AS run_id, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey, o_custkey, o_totalprice) AS rank FROM orders",
     "union_bag": "WITH o AS (SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders) SELECT * FROM o UNION ALL SELECT l_orderkey, l_extendedprice FROM lineitem UNION ALL SELECT * FROM o",
     "compare_bag": """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders), m AS (SELECT * FROM o WHERE o_orderpriority <> '1-URGENT')
         SELECT 'same' AS case_name, (SELECT count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM o)) AS only_a, (SELECT count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM o)) AS only_b
@@ -215,17 +266,23 @@ ORACLE = {
         SELECT count(*) AS n, any_value(m) AS avg_size, min(size) AS min_size, max(size) AS max_size, round(avg((size - m) * (size - m)), 3) AS size_variance FROM s, a""",
     "running_bytes": _RUNNING,
     "even_split": "SELECT chunk_id, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey, o_custkey) AS chunk_id FROM orders) GROUP BY chunk_id",
-    "pack_bytes": f"SELECT doc_id, CAST(floor((running_bytes - size) / 65536) AS BIGINT) AS chunk_id FROM ({_RUNNING})",
     "round_robin": "SELECT 1 + (row_number() OVER (ORDER BY s_suppkey) - 1) % 3 AS worker, s_suppkey FROM supplier",
     "systematic_sample": "SELECT * FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey, o_custkey) AS pos FROM orders) WHERE (pos - 1) % 15 = 0",
     "dup_keys": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1",
     "key_ranges": "SELECT o_custkey // 100 AS key_range, count(*) AS n, min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders GROUP BY 1",
     "io_bound": "SELECT lang, (avg(strlen(text) + 12) > 512 OR var_pop(strlen(text) + 12) > avg(strlen(text) + 12) * 0.5) AS io_bound FROM documents GROUP BY lang",
     "speedup_join": f"""SELECT t.file AS file, units, round(s.time / t.time, 3) AS speedup, round(s.time / t.time / units, 3) AS efficiency, nullif(regexp_extract(t.file, 'data/(.*)\\.bin', 1), '') AS dataset
-        FROM (VALUES {_values(_TIMES)}) t(file, units, time) LEFT JOIN (VALUES {_values(_SEQ)}) s(file, time) ON t.file = s.file""",
-    "first_value_baseline": f"SELECT file, units, CAST(base AS DOUBLE) AS base, round(CAST(base AS DOUBLE) / time, 3) AS speedup FROM (SELECT *, first_value(time) OVER (PARTITION BY file ORDER BY units) AS base FROM (VALUES {_values(_TIMES)}) t(file, units, time))",
+        FROM {_FARM} LEFT JOIN {_SEQ} ON t.file = s.file""",
+    "first_value_baseline": f"SELECT file, units, base, round(base / time, 3) AS speedup FROM (SELECT *, first_value(time) OVER (PARTITION BY file ORDER BY units) AS base FROM {_FARM})",
     "log_regex": f"SELECT run, TRY_CAST(nullif(regexp_extract(arg_max(line, line_no), 'Time=([0-9.]+)', 1), '') AS DOUBLE) AS time FROM (VALUES {_values(_LOG)}) t(run, line_no, line) GROUP BY run",
     "sweep_grid": f"SELECT procs, threads, procs * threads AS cores FROM {_GRID}",
-    "mean_per_cores": f"SELECT procs * threads AS cores, avg(procs * 2.0 + threads) AS mean_time FROM {_GRID} GROUP BY 1",
+    "mean_per_cores": f"SELECT procs * threads AS cores, round(avg(t), 6) AS mean_time FROM (VALUES {_values(timings.grid)}) g(procs, threads, t_) , LATERAL (SELECT CAST(t_ AS DOUBLE) AS t) GROUP BY 1",
+    "paired_lists": f"SELECT * FROM (VALUES {', '.join(f"({i}, '{f}', {m})" for i, (f, m) in enumerate(zip(sorted({r[0] for r in timings.farm}), (512, 2048, 1024, 'NULL'))))}) t(i, file, memory)",
+    "dataset_names": f"SELECT u.dataset AS dataset, n FROM (SELECT {_NAME} AS dataset FROM {_FARM} UNION SELECT {_NAME} FROM {_SEQ}) u LEFT JOIN (SELECT {_NAME} AS dataset, count(*) AS n FROM {_FARM} WHERE {_NAME} IN (SELECT {_NAME} FROM {_SEQ}) GROUP BY 1) k USING (dataset)",
+    "one_dataset": f"SELECT {_NAME} AS dataset, min(time) AS best, arg_min(units, time) AS units FROM {_FARM} GROUP BY 1",
+    "results_csv": f"SELECT file, units, memory, time FROM {_FARM}",
+    "table_print": f"SELECT file, units, format('{{:,.2f}}', time) AS seconds FROM {_FARM}",
+    "phase_times": "SELECT phase, n, true AS timed FROM (SELECT count(*) AS n FROM orders), (VALUES ('runs'), ('merge')) p(phase)",
+    "output_names": f"SELECT DISTINCT file, regexp_replace(file, '\\.bin$', '_sorted_output.bin') AS output FROM {_FARM}",
     "rank_in_group": f"SELECT l_returnflag, rn, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, {', '.join(c for c in LINEITEM if c not in ('l_shipdate', 'l_returnflag'))}) AS rn FROM lineitem)",
 }
