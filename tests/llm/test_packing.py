@@ -39,6 +39,18 @@ def test_encoder_equals_library():
         assert got == library(p, texts)
 
 
+def test_every_letter_before_punctuation():
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for f in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        p = public_tokenizers.path(f)
+        t, enc = tokenizer(p), Encoder.of(p)
+        for a in range(0, len(letters), 20_000):
+            texts = [f"a{c}, {c}. b{c}\u0301," for c in letters[a : a + 20_000]]
+            got = enc.encode_all(texts)
+            want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+            assert [x for x, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
 def check(rows, ids, limits):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:

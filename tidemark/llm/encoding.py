@@ -4,7 +4,9 @@ Both public BPE files split a text before any blank that follows a non-blank, wh
 pre-tokenisers let a word take blanks only from its left, or drop them). So the text may be cut at all such places,
 each piece encoded on its own by the library, and the ids joined: the same ids as for the whole text. Pieces repeat a
 lot in real text, so they are remembered, in a bounded table of two generations. A piece that is one run of letters is
-one pre-token and goes straight to the library's model; one that ends in a comma or full stop after a letter is two, and so is one that starts with a line end before one.
+one pre-token and goes straight to the library's model; one that ends in a comma or full stop after a letter is two,
+and so is one that starts with a line end before one. (The letter must still be one once the text is normalised: some
+come apart into a letter and a mark, and the mark would go with the comma.)
 Texts with the control characters U+001C to U+001F, on which blank classes of the two libraries differ, go to the
 tokenizer as a whole.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -67,7 +70,7 @@ class _Memo(dict):
             if not word.isascii():
                 word = word.encode().decode("latin-1").translate(enc.chars)
             return array("I", [t.id for t in enc.model.tokenize(self.lead + word)]).tobytes()
-        if word[-1:] in (",", ".") and word[-2:-1].isalpha():
+        if word[-1:] in (",", ".") and _ends_in_letter(word[:-1]):
             return self[word[:-1]] + enc.bare[word[-1]]
         if _ODD.search(word):
             raise _Whole
@@ -127,6 +130,11 @@ class Encoder:
             return b"".join(map(self.bare.__getitem__, _PIECE.findall(text)))
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Does it, as it stands and after composition and lower case?"""
+    return word[-1:].isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower()[-1:].isalpha())
+
+
 def _latin(text: str) -> bool:
     """Only characters up to U+00FF: lower case of each is one character, and nothing composes."""
     if text.isascii():
