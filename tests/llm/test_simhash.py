@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import xxhash
@@ -93,7 +94,62 @@ def test_bucket_ways_agree():
             f ^= 1 << r.choice([i for i in range(64) if not mask >> i & 1])
         fps.add(f)
     a = np.array(sorted(fps), np.uint64)
-    assert sorted(link_bucket(a, mask, 3)) == sorted(link_bucket(a, mask, 3, enumerate_from=1))
+    assert groups(link_bucket(a, mask, 3)) == groups(link_bucket(a, mask, 3, small=4))
+
+
+def groups(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        parent[find(u)] = find(v)
+    out = {}
+    for x in parent:
+        out.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, out.values()))
+
+
+def test_a_bucket_of_hundreds_of_thousands():
+    rng = np.random.default_rng(5)
+    mask = _masks(6, 3)[0]
+    free = [i for i in range(64) if not mask >> i & 1]
+    a = np.zeros(300_000, np.uint64)
+    for i in free:
+        a |= rng.integers(0, 2, len(a), np.uint64) << np.uint64(i)
+    a = np.unique(a)
+    some = a[:: len(a) // 500]
+    planted = some ^ np.uint64((1 << free[0]) | (1 << free[9]) | (1 << free[-1]))
+    begin = time.perf_counter()
+    edges = link_bucket(np.unique(np.concatenate([a, planted])), mask, 3)
+    assert time.perf_counter() - begin < 120
+    linked = {x for e in edges for x in e}
+    assert all(int(x) in linked for x in some) and all(int(x) in linked for x in planted)
+
+
+def test_a_new_split_of_the_scan_changes_nothing(spark, tmp_path):
+    """The scan is split otherwise when the result is written than when the call was made."""
+    from tidemark.llm.jaccard import near_copies_removed
+
+    texts = [" ".join(f"t{i}w{j}" for j in range(8)) for i in range(3000)]
+    rows = list(enumerate(texts)) + [(10_000 + i, texts[3 * i]) for i in range(700)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6).write.parquet(path)
+    key = "spark.sql.files.openCostInBytes"
+    for removed in (near_duplicates_removed, near_copies_removed):
+        out = removed(spark.read.parquet(path))
+        before = spark.conf.get(key)
+        spark.conf.set(key, "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        try:
+            kept = sorted(r["doc_id"] for r in out.collect())
+        finally:
+            spark.conf.set(key, before)
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert kept == list(range(3000)), removed
 
 
 def test_planted_distances(spark):

@@ -6,14 +6,15 @@ entered once per choice of blocks - 3 blocks (6 blocks: 20 choices of about 32 b
 billions of fingerprints). Equal fingerprints are one node from the start, so copies cost nothing.
 
 The join on blocks is a sort-merge self-join: entries are dealt by (choice, block bits), sorted, and each run of one
-bucket is joined with itself in place, with the Hamming distance verified. A bucket gives no pairs, only a star for
-each of its components: all its links enter the components, yet a bucket of m fingerprints gives m - 1 rows at most.
-Within a bucket the next node is compared with what isn't reached yet; buckets beyond ``ENUMERATE`` probe all bit
-patterns around each node in the sorted bucket instead, which is linear in the bucket. Both are exact.
+bucket is joined with itself in place, with the Hamming distance verified. A bucket of many links gives a star for each of its components
+instead of pairs: all its links enter the components, yet rows stay in proportion to its fingerprints.
+Within a bucket the next node is compared with what isn't reached yet; one of more than ``SMALL`` is first split by
+blocks of its other bits, in the same way. A bucket is held by one task as 8 bytes a distinct fingerprint.
 
 Defined cases: null texts count as empty; a text of no words has fingerprint 0 and links like any other; a text of one
 or two words is one shingle; repeated ids are one node each with their own text's fingerprint; an empty table gives no
-rows; further columns are kept by ``near_duplicates_removed`` and ignored elsewhere.
+rows; very long texts are read whole; null ids are nodes too (they sort first); further columns are kept by
+``near_duplicates_removed`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.operators.sort import stored
 from tidemark.shared import ensure_checkpoint_dir, fresh
 
 SEED = 42
 BLOCKS = 6
 DISTANCE = 3
-ENUMERATE = 200_000
+SMALL = 600
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -74,32 +76,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _around(mask: int, distance: int) -> np.ndarray:
-    """All patterns of 1 to ``distance`` bits outside a mask."""
-    free = [1 << i for i in range(64) if not mask >> i & 1]
-    return np.array([sum(c) for d in range(1, distance + 1) for c in itertools.combinations(free, d)], np.uint64)
-
-
-def link_bucket(fps: np.ndarray, mask: int, distance: int, enumerate_from: int = ENUMERATE) -> list[tuple[int, int]]:
-    """Stars (member, smallest member) of the components of distinct fingerprints that agree on a mask."""
+def link_bucket(fps: np.ndarray, mask: int, distance: int, small: int = SMALL) -> list[tuple[int, int]]:
+    """Edges between distinct fingerprints that agree on a mask, at most about two for each, whose components are those of
+    all their links: stars where there are many links, else the links. A large bucket is split by the same principle as the whole: of ``distance + 1`` parts of the bits outside
+    the mask, two that link agree on one."""
     fps = np.sort(fps)
+    free = [i for i in range(64) if not mask >> i & 1]
     out: list[tuple[int, int]] = []
-    if len(fps) > enumerate_from:
-        left = np.ones(len(fps), bool)
-        probes = _around(mask, distance)
-        for i in range(len(fps)):
-            if not left[i]:
-                continue
-            left[i] = False
-            todo = [i]
-            while todo:
-                near = fps[todo.pop()] ^ probes
-                at = np.minimum(np.searchsorted(fps, near), len(fps) - 1)
-                hit = at[(fps[at] == near) & left[at]]
-                left[hit] = False
-                out += [(int(fps[j]), int(fps[i])) for j in hit]
-                todo += hit.tolist()
+    if len(fps) > small and len(free) > distance:
+        for part in np.array_split(np.array(free), distance + 1):
+            bits = sum(1 << int(i) for i in part)
+            value = fps & np.uint64(bits)
+            order = np.argsort(value, kind="stable")
+            cut = np.flatnonzero(np.diff(value[order])) + 1
+            for own in np.split(order, cut):
+                if len(own) > 1:
+                    out += link_bucket(fps[own], mask | bits, distance, small)
         return out
+    if len(fps) <= SMALL:
+        near = np.triu(np.bitwise_count(fps[:, None] ^ fps) <= distance, 1)
+        if near.sum() <= 2 * len(fps):
+            i, j = np.nonzero(near)
+            return list(zip(fps[j].tolist(), fps[i].tolist(), strict=True))
     rest = fps
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
@@ -119,30 +117,32 @@ def links(prints: DataFrame, column: str = "fp", distance: int = DISTANCE, block
     entries = F.array(*[F.struct(F.lit(i).cast("int").alias("c"), F.col(column).bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
     rows = prints.select(F.explode(entries).alias("e"), F.col(column).alias("fp")).select("e.c", "e.k", "fp")
     dealt = rows.repartition("c", "k").sortWithinPartitions("c", "k")
-    empty = np.array([], np.int64)
 
     def run(batches):
-        held = (np.array([], np.int32), empty, empty)
+        held, parts = None, []
         for b in itertools.chain(batches, [None]):
-            if b is not None:
-                held = tuple(np.concatenate([h, x.to_numpy(zero_copy_only=False)]) for h, x in zip(held, b.columns, strict=True))
-            c, k, f = held
-            if not len(c):
-                continue
-            ends = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
-            starts = np.concatenate([[0], ends])
-            stops = np.concatenate([ends, [len(c)]])
-            if b is not None:
-                # The last run may go on in the next batch.
-                held = (c[starts[-1] :], k[starts[-1] :], f[starts[-1] :])
-                starts, stops = starts[:-1], stops[:-1]
             out: list[tuple[int, int]] = []
-            for i in np.flatnonzero(stops - starts > 1):
-                out += link_bucket(f[starts[i] : stops[i]].view(np.uint64), masks[c[starts[i]]], distance)
+            if b is not None and not b.num_rows:
+                continue
+            c, k, f = (x.to_numpy(zero_copy_only=False) for x in b.columns) if b is not None else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            starts = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1])[: len(c)]
+            stops = np.append(starts[1:], len(c))
+            for i, (x, y) in enumerate(zip(starts.tolist(), stops[: len(starts)].tolist(), strict=True)):
+                if i or held != (int(c[x]), int(k[x])):
+                    out += _closed(held, parts)
+                    held, parts = (int(c[x]), int(k[x])), []
+                parts.append(f[x:y].copy())
+            if b is None:
+                out += _closed(held, parts)
             if out:
                 pairs = np.array(out, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
+    def _closed(held, parts):
+        if sum(map(len, parts)) < 2:
+            return []
+        return link_bucket(np.concatenate(parts).view(np.uint64), masks[held[0]], distance)
+
     return dealt.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
@@ -160,18 +160,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = 3, stored: bool = False) -> DataFrame:
+def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = 3) -> DataFrame:
     """One document of each group stays: the row of the smallest id (the first such row, if rows repeat). Same columns.
 
-    Rows are told apart by their place in the input (partition and row), so repeated ids lose no group. Only keys and
-    fingerprints are shuffled to find the groups; then the keys of dropped rows are taken out of the input. The places
-    must be the same in both passes, so the input is stored first; ``stored`` says that it is a plain scan of stored
-    files already, whose splits are the same each time.
+    Rows are told apart by a number that is stored with them, so repeated ids lose no group and it doesn't matter how a
+    scan is split later. Only keys and fingerprints are shuffled to find the groups; then the dropped rows are taken out.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
     row, key = fresh(docs, "__row", "__key")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    keyed = keyed if stored else keyed.checkpoint()
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     place = F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))
     ranked = near_duplicates(keyed.withColumn(key, place), key, text_col, distance, words=words)
     dropped = ranked.filter("doc_id <> component_id").select(F.col("doc_id.row").alias(row))
