@@ -5,7 +5,7 @@ words is one shingle). Equal sets are one node from the start, so copies cost no
 ``BANDS`` bands of ``ROWS`` min-hashes: two texts of similarity s share a bucket but for a chance of
 (1 - s^ROWS)^BANDS, which is 5e-6 at 0.8 and less above. Every link is then checked on the whole sets.
 
-Only nodes in buckets of two or more have their sets built again and shuffled; buckets of the same members count once.
+Only nodes in buckets of two or more have their texts shuffled and their sets built again; buckets of the same members count once.
 A bucket is taken apart in one pass over its sorted run and gives a star for each of its components, not pairs, with
 all its links found. ``FIRST`` bands go first; of the others only those buckets are left to do whose members aren't in
 one component yet, so a large group of near copies isn't compared anew in each band.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.simhash import _LOWER, SEED
+from tidemark.operators.sort import stored
 from tidemark.shared import ensure_checkpoint_dir, fresh
 
 WORDS = 5
@@ -31,8 +32,9 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 6
 FIRST = 4
-#: Up to so many row numbers are handed to all tasks (8 bytes each), so that other rows' texts aren't shuffled.
-HANDED = 2_000_000
+#: Size of the filter that goes to all tasks (8 MB), so that few texts are shuffled that aren't wanted. A fuller one lets
+#: more of them through, which costs a shuffle of those and nothing else.
+FILTER_BITS = 1 << 26
 
 _RANDOM = np.random.default_rng(SEED)
 _FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -83,18 +85,30 @@ def _set(text: Column, words: int) -> Column:
     return run(text)
 
 
+def bits_of(numbers: DataFrame, column: str) -> np.ndarray:
+    """A filter of the longs of a column: ``FILTER_BITS`` bits, whatever their number, of which those at the numbers'
+    places are set. Built by partial aggregation; the driver gets the bits, not the numbers."""
+    x = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    parts = numbers.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def maybe_in(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """False for longs that are surely not among those of a filter."""
+    at = x % FILTER_BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose ``row`` is among the wanted ones; all rows, if those are too many to hand out."""
-    wanted = wanted.select("row")
-    if wanted.count() > HANDED:
-        return texts
-    numbers = np.sort(np.fromiter((r["row"] for r in wanted.toLocalIterator()), np.int64))
+    """``texts`` without most rows whose ``row`` isn't among the wanted ones (an exact join must follow)."""
+    bits = bits_of(wanted, "row")
 
     @F.arrow_udf("boolean")
     def run(row: pa.Array) -> pa.Array:
-        x = row.to_numpy()
-        at = np.minimum(np.searchsorted(numbers, x), max(0, len(numbers) - 1))
-        return pa.array(numbers[at] == x if len(numbers) else np.zeros(len(x), bool))
+        return pa.array(maybe_in(bits, row.to_numpy()))
 
     return texts.filter(run(F.col("row")))
 
@@ -159,8 +173,10 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(place, text), place a struct of id and row, the same in each pass -> (row, keep) of all rows: the row that stands
-    for its component of near copies, the one of the smallest place."""
+    """(place, text), place a struct of id and row -> (row, keep) of all rows: the row that stands for its component of
+    near copies, the one of the smallest place. A text's row must be the same number whenever the rows are read; rows of
+    equal texts may share one."""
+    ensure_checkpoint_dir(rows.sparkSession)
     prints = rows.select("place", _sketch(F.col("text"), words).alias("s")).select("place", "s.node", "s.keys").checkpoint()
     nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("keys").alias("keys")).checkpoint()
 
@@ -170,7 +186,8 @@ def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
     members = entries.join(buckets, ["band", "key"]).checkpoint()
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("low.row").alias("row")).checkpoint()
-    texts = among(rows.select(F.col("place.row").alias("row"), "text"), wanted).join(wanted, "row")
+    # One text for each wanted row, also if rows with equal texts share a number (the join has put them together).
+    texts = among(rows.select(F.col("place.row").alias("row"), "text"), wanted).join(wanted, "row").groupBy("row").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     sets = texts.select("node", _set(F.col("text"), words).alias("set")).checkpoint()
 
     first = _links(members.filter(F.col("band") < FIRST), sets, similarity).checkpoint()
@@ -188,14 +205,12 @@ def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     return prints.select("node", F.col("place.row").alias("row")).join(of, "node").select("row", "keep")
 
 
-def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, stored: bool = False) -> DataFrame:
+def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component of near copies stays: the row of the smallest id (the first such row, if rows
-    repeat). Same columns. Rows are told apart by their place in the input, which must be the same in all passes, so
-    it is stored first; ``stored`` says that it is a plain scan of stored files already."""
-    ensure_checkpoint_dir(docs.sparkSession)
+    repeat). Same columns. Rows are told apart by a number that is stored with them, so it doesn't matter how a scan is
+    split in the later passes."""
     (row,) = fresh(docs, "__row")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    keyed = keyed if stored else keyed.checkpoint()
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     rows = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("place"), F.col(text_col).alias("text"))
     dropped = near_groups(rows, words, similarity).filter("row <> keep").select(F.col("row").alias(row))
     return keyed.join(dropped, row, "left_anti").select(*docs.columns)
