@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.pii import Rules, clean, disclosing_terms, find_base, find_personal, sanitised, spans_text
+from tidemark.llm.pii import Rules, _window, clean, disclosing_terms, find_base, find_personal, find_secrets, sanitised, spans_text
 from tidemark.llm.queries_pii import op9_pii
 
 SF = "/root/testdata/sf0.01"
@@ -63,7 +63,7 @@ def corpus(spark, n=400):
         if i % 50 == 0:
             t += f" ask Brunhilda Quartz at bq@corp.example.com {r.choice(words)} " + " ".join(r.choices(words, k=10))
         elif i % 9 == 0:
-            t += " ask someone else " + " ".join(r.choices(words, k=10))
+            t += " ask someone else at home " + " ".join(r.choices(words, k=10))
         rows.append((i, t))
     copies = [(1000 + i, "unique Zebrafish mail to z@z.example.org here") for i in range(30)]
     return spark.createDataFrame(rows + copies + [(5000, None), (5001, "")], "doc_id bigint, text string")
@@ -75,8 +75,65 @@ def test_disclosure(spark):
     assert {"brunhilda", "quartz"} <= set(got) and all(abs(got[t] - 1) < 1e-9 for t in ("brunhilda", "quartz"))
     assert "zebrafish" not in got  # thirty copies are one context
     assert "ask" not in got and not any(t.startswith("w") for t in got)
-    small = {r["term"]: r["disclosure"] for r in disclosing_terms(docs, lot=1).collect()}
-    assert small == got
+
+
+def test_planted_names(spark, tmp_path):
+    """Precision and recall of the query on names planted beside values, among the documents of sf0.01."""
+    r = random.Random(11)
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    words = [w for _, t in docs if t for w in t.split()[:30]]
+    text = lambda n: " ".join(r.choices(words, k=n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["王小", "李五", "Bo", "4711", *("".join(r.choices(letters, k=7)).title() + "ov" for _ in range(36))]
+    rows, truth = list(docs), set()
+    next_id = 10_000_000
+
+    def add(t):
+        nonlocal next_id
+        next_id += 1
+        rows.append((next_id, t))
+
+    for i, name in enumerate(names):
+        mail = f"p{i}@corp{i}.example.com"
+        for _ in range(r.randint(4, 12)):
+            add(f"{text(30)} {name} {mail} {text(30)}")
+        if i % 4 == 3:  # a name that many bear: it says nothing about one address
+            for _ in range(60):
+                add(f"{text(30)} {name} {text(30)}")
+        else:
+            truth.add(name.lower())
+        if i % 5 == 0:  # known beside the value only from copies of one document
+            t = f"{text(30)} decoy{i} {mail} {text(30)}"
+            for _ in range(20):
+                add(t)
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    texts = dict(rows)
+    found = set()
+    for x in op9_pii(spark, folder).filter("n_term > 0").select("doc_id", "spans").collect():
+        for s in x["spans"].split(","):
+            kind, a, b = s.split(":")
+            if kind == "term":
+                found.add(texts[x["doc_id"]][int(a) : int(b)].lower())
+    precision, recall = len(found & truth) / max(1, len(found)), len(found & truth) / len(truth)
+    print("precision", precision, "recall", recall, sorted(found - truth), sorted(truth - found))
+    assert precision >= 0.9 and recall >= 0.9
+
+
+def test_secrets():
+    hidden = "908038b7daaf91e730d2f64001c52934d43"
+    t = f'on token = "{hidden}" and api_key:{hidden} but not x = "{hidden}" nor token of {hidden}, password=short'
+    assert [t[a:b] for _, a, b in find_secrets(t)] == [hidden, hidden]
+    assert clean(t, {}).count("<SECRET>") == 2
+    for long in ("=" * 300_000, "token=" * 50_000, ":" + "a" * 300_000):
+        find_secrets(long)
+
+
+def test_windows_are_whole_words():
+    long = "x" * 900
+    t = f"{long} a1 7 {long} a@b.c {long} 12 b2 " + " ".join(["z"] * 20)
+    (span,) = find_base(t)
+    assert _window(t, [span], span[1], span[2], 4) == [long, "a1", "7", long, long, "12", "b2", "z"]
 
 
 def test_sanitised(spark):

@@ -1,25 +1,29 @@
 """Personal data: patterns, and information-theoretic sanitisation of terms that reveal them.
 
-Protected entities are the personal values that patterns find (e-mail addresses, IP addresses, card and phone
-numbers). A term (a word near a mention) discloses an entity as far as
+Protected entities are the values that patterns find: the base kinds (e-mail addresses, IP addresses, card and phone
+numbers), and secrets (16 characters or more assigned to a name such as token or password). A term (a word near a mention) discloses an entity as far as
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log2(N n(t,e) / (n(t) n(e))),   IC(e) = log2(N / n(e)),
 
 with counts over all groups of near copies of the corpus (``jaccard``; a document without copies is a group), so that
-copies weigh one: 1 says that whoever reads the term can infer the entity. Terms of at least ``threshold`` for some entity are added to the spans, wherever they occur: at ``remove_at`` or more they are
-removed, below it generalised. ``support`` distinct contexts are asked for, however many documents there are, so that
-copies of one passage prove nothing, and a term that merely stands beside a value once isn't taken for its sign. A
-context is the set of the window's other words; two are the same if they share half of all their words or more, as the
-copies of a passage do in spite of edits. Of each term and entity only the first ``support`` distinct ones are kept.
-
-Words of one or two characters and words of digits alone are never candidates (they would be taken out all over the
-corpus): two-character names, initials, customer numbers and the like that stand beside a value stay.
-
-Counting. Pairs come only from windows around mentions. Counts of the candidate terms come from all whole texts. The
-candidate and the disclosing terms are handed to all tasks in lots of at most ``LOT`` (one pass over the texts for
-each lot), so no task holds more, however many there are.
-
-Defined cases: null texts count as empty; repeated rows are copies; an empty table gives no rows; further columns are kept by ``sanitised`` and ignored elsewhere.
+copies weigh one: 1 says that whoever reads the term can infer the entity. Terms of at least ``threshold`` for some
+entity are added to the spans, wherever they occur: at ``remove_at`` or more they are removed, below it generalised.
+``support`` distinct contexts are asked for, however many documents there are, so that copies of one passage prove
+nothing, and a term that merely stands beside a value once isn't taken for its sign. A context is the set of the
+window's other words; two are the same if they share half of all their words or more, as the copies of a passage do in
+spite of edits. Of each term and entity only the first ``support`` distinct ones are kept.
+
+A term is any run of letters and digits, however short or long, among the ``words`` nearest ones on either side of a
+mention; whether it is taken out is decided by its disclosure alone (frequent words disclose nothing).
+
+Counting. Pairs come only from windows around mentions. Counts of the candidate terms come from one pass over all whole
+texts: a filter of fixed size (``jaccard.bits_of``) goes to all tasks, which count the words that pass it; a join by
+word leaves the candidates. Documents are told apart by the hash of their text, so it doesn't matter how scans are
+split. Only the disclosing terms themselves go to all tasks, in lots of at most ``LOT`` (one more step for each lot).
+
+Defined cases: null texts count as empty; repeated rows are copies; null and repeated ids don't matter; very long texts
+are read whole; an empty table gives no rows; further columns, also of the names used here, are kept by ``sanitised``
+and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -29,16 +33,18 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced, texts_of
-from tidemark.llm.jaccard import among, near_groups
+from tidemark.llm.jaccard import FILTER_BITS, among, bits_of, near_groups
 from tidemark.shared import ensure_checkpoint_dir, fresh
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 TERM = "term"
 LOT = 200_000
 
@@ -48,6 +54,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_ASSIGNED = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9+/_-]{16,})""")
+_SECRET_NAME = re.compile(r"""(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}$""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _NON_DIGIT = re.compile(r"[^0-9]+")
 
@@ -90,18 +98,36 @@ def find_base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def find_secrets(text: str) -> list[tuple[str, int, int]]:
+    """Values assigned to the name of a secret: (kind, start, end) in code points."""
+    if "=" not in text and ":" not in text:
+        return []
+    return [(SECRET, *m.span(1)) for m in _ASSIGNED.finditer(text) if _SECRET_NAME.search(text, max(0, m.start() - 24), m.start())]
+
+
 def _value(kind: str, raw: str) -> str:
-    return f"{kind}:{raw.lower() if kind in ('email', 'ip') else _NON_DIGIT.sub('', raw)}"
+    return f"{kind}:{_NON_DIGIT.sub('', raw) if kind in ('card', 'phone') else raw if kind == SECRET else raw.lower()}"
+
+
+def _around(text: str, at: int, words: int, left: bool) -> list[tuple[int, int]]:
+    """The nearest ``words`` whole words on one side of a place."""
+    reach = 16 * words
+    while True:
+        a, b = (max(0, at - reach), at) if left else (at, min(len(text), at + reach))
+        found = [(a + m.start(), a + m.end()) for m in _WORD.finditer(text[a:b])]
+        whole = a == 0 if left else b == len(text)
+        if found and not whole and (found[0][0] == a if left else found[-1][1] == b):
+            found.pop(0 if left else -1)  # it may go on outside
+        if whole or len(found) >= words:
+            return found[-words:] if left else found[:words]
+        reach *= 2
 
 
 def _window(text: str, spans: list[tuple[str, int, int]], start: int, end: int, words: int) -> list[str]:
-    """Lower-cased words on both sides of a mention, without those inside other mentions."""
-    reach = 24 * words
-    a, b = max(0, start - reach), min(len(text), end + reach)
-    left = [(a + m.start(), a + m.end()) for m in _WORD.finditer(text[a:start]) if m.start() or not a][-words:]
-    right = [(end + m.start(), end + m.end()) for m in _WORD.finditer(text[end:b]) if end + m.end() < b or b == len(text)][:words]
-    free = [(s, e) for s, e in left + right if not any(x < e and s < y for _, x, y in spans)]
-    return [w for s, e in free if len(w := text[s:e].lower()) > 2 and not w.isdigit()]
+    """Lower-cased words on both sides of a mention, without those inside mentions."""
+    near = [*_around(text, start, words, True), *_around(text, end, words, False)]
+    close = [(x, y) for _, x, y in spans if near and x < near[-1][1] and near[0][0] < y]
+    return [text[s:e].lower() for s, e in near if not any(x < e and s < y for x, y in close)]
 
 
 def distinct_contexts(kept: list[frozenset], more: frozenset, support: int) -> bool:
@@ -122,11 +148,11 @@ def cooccurrence(docs: DataFrame, text_col: str, row: str, words: int, support:
             out = []
             for number, text in zip(batch.column(1).to_pylist(), texts_of(batch, 0), strict=True):
                 rows = set()
-                spans = find_base(text)
+                spans = find_base(text) + find_secrets(text)
                 for kind, a, b in spans:
-                    e = xxhash.xxh64_intdigest(_value(kind, text[a:b])) >> 1
+                    e = _hash(_value(kind, text[a:b]))
                     near = _window(text, spans, a, b, words)
-                    hashes = {w: xxhash.xxh64_intdigest(w) >> 1 for w in near}
+                    hashes = {w: _hash(w) for w in near}
                     every = frozenset(hashes.values())
                     if (e, "") not in rows:
                         rows.add((e, ""))
@@ -175,39 +201,76 @@ def _lots(df: DataFrame, column: str, lot: int) -> Iterator[DataFrame]:
         yield df if parts == 1 else df.filter(F.pmod(F.xxhash64(column), F.lit(parts)) == i)
 
 
-def document_counts(docs: DataFrame, text_col: str, row: str, terms: DataFrame, copies: DataFrame | None, lot: int = LOT) -> DataFrame:
-    """(term, n): in how many groups of near copies each of the terms occurs; whole texts of all documents. ``copies``
-    has (row, keep) of the documents in groups of two or more; the others are counted where they are read."""
-    spark = docs.sparkSession
-    out = None
-    for part in _lots(terms, "term", lot):
-        place = {t: i for i, t in enumerate(sorted(r["term"] for r in part.collect()))}
-        numbered = spark.createDataFrame([(i, t) for t, i in place.items()], "i int, term string")
-        wanted = frozenset(place)
-
-        def count(batches, wanted=wanted):
-            seen: Counter = Counter()
-            for batch in sliced(batches, 0):
-                for text in texts_of(batch, 0):
-                    seen.update(wanted.intersection(map(str.lower, set(_WORD.findall(text)))))
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
-
-        def occur(batches, place=place):
-            for batch in sliced(batches, 0):
-                found = [sorted({place[w] for w in map(str.lower, set(_WORD.findall(text))) if w in place}) for text in texts_of(batch, 0)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["row", "at"])
-
-        texts = docs.select(F.col(text_col).alias("text"), F.col(row).alias("row"))
-        got = texts.select("text").mapInArrow(count, "term string, n bigint")
-        if copies is not None:
-            held = among(texts, copies).select("text", "row").mapInArrow(occur, "row bigint, at array<int>").join(copies, "row").select("keep", F.explode("at").alias("i"))
-            held = held.groupBy("keep", "i").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.sum(1 - F.col("n")).alias("n"))
-            got = got.unionAll(held.join(numbered, "i").select("term", "n"))
-        out = got if out is None else out.unionAll(got)
-    if out is None:
-        return spark.createDataFrame([], "term string, n bigint")
-    return out.groupBy("term").agg(F.sum("n").alias("n"))
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
+
+
+class _Maybe(dict):
+    """Word, lower-cased -> may it be among those of a filter? Remembered up to a bound."""
+
+    def __init__(self, bits: np.ndarray):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: str) -> bool:
+        at = _hash(word) % FILTER_BITS
+        got = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        if len(self) < 400_000:
+            self[word] = got
+        return got
+
+    def of(self, text: str) -> list[str]:
+        """The distinct words of a text that pass."""
+        return [w for w in set(map(str.lower, set(_WORD.findall(text)))) if self[w]]
+
+
+def document_counts(docs: DataFrame, terms: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """(term, n): in how many groups of near copies each of the terms occurs; whole texts of all documents.
+
+    ``docs`` has (row, text); ``copies`` has (row, keep) of the rows in groups of two or more documents; the others are
+    counted where they are read, and the former corrected: a group in which n documents hold a term counts 1.
+    """
+    bits = bits_of(terms.select(_hash_column(F.col("term")).alias("h")), "h")
+
+    def count(batches):
+        maybe, seen = _Maybe(bits), Counter()
+        for batch in sliced(batches, 0):
+            for text in texts_of(batch, 0):
+                seen.update(maybe.of(text))
+            if len(seen) > LOT:
+                yield _counted(seen)
+                seen.clear()
+        if seen:
+            yield _counted(seen)
+
+    def _counted(seen):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+    def occur(batches):
+        maybe = _Maybe(bits)
+        for batch in sliced(batches, 0):
+            # Equal texts, so equal rows, are looked at once a batch.
+            rows = Counter(batch.column(1).to_pylist())
+            text = dict(zip(batch.column(1).to_pylist(), texts_of(batch, 0), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.int64()), pa.array([maybe.of(text[r]) for r in rows], pa.list_(pa.string()))], names=["row", "m", "terms"]
+            )
+
+    texts = docs.select("text", "row")
+    got = texts.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    if copies is not None:
+        held = among(texts, copies).mapInArrow(occur, "row bigint, m bigint, terms array<string>").select("row", "m", F.explode("terms").alias("term"))
+        held = held.groupBy("row", "term").agg(F.sum("m").alias("m")).join(copies, "row").groupBy("keep", "term").agg(F.sum("m").alias("m"))
+        got = got.unionAll(held.groupBy("term").agg(F.sum(1 - F.col("m")).alias("n")))
+    return got.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _hash_column(term):
+    @F.arrow_udf("bigint")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([_hash(t) for t in col.to_pylist()], pa.int64())
+
+    return run(term)
 
 
 @dataclass(frozen=True)
@@ -218,24 +281,24 @@ class Rules:
     words: int = 8
 
 
-def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, stored: bool = False, distinct: bool = False) -> DataFrame:
-    """(term, disclosure): terms whose disclosure of some entity reaches the threshold. ``stored`` says that ``docs`` is a
-    plain scan of stored files, whose rows come in the same places each time; ``distinct`` that near copies are out."""
+def disclosing_terms(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), distinct: bool = False) -> DataFrame:
+    """(term, disclosure): terms whose disclosure of some entity reaches the threshold. ``distinct`` says that near copies
+    are out already, so each row counts as a group."""
     ensure_checkpoint_dir(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    docs = docs if stored or distinct else docs.checkpoint()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.xxhash64(text).alias("row"), text.alias("text"))
     pairs = cooccurrence(docs, "text", "row", rules.words, rules.support).checkpoint()
     total, copies, one = docs.count(), None, pairs
     if not distinct:
-        groups = near_groups(docs.select(F.struct("id", "row").alias("place"), "text"))
-        several = groups.filter("row <> keep").select("keep").distinct()
-        copies = groups.join(several, "keep").select("row", "keep").checkpoint()
-        total -= copies.filter("row <> keep").count()
+        groups = near_groups(docs.select(F.struct(F.col("row").alias("id"), "row").alias("place"), "text"))
+        several = groups.groupBy("keep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
+        copies = groups.distinct().join(several.select("keep"), "keep").select("row", "keep").checkpoint()
+        total -= several.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
         one = pairs.join(copies, "row", "left").withColumn("row", F.coalesce("keep", "row"))
     joint = one.groupBy("entity", "term").agg(F.count_distinct("row").alias("joint")).checkpoint()
     entity = joint.filter("term = ''").select("entity", F.col("joint").alias("n_entity"))
     strong = joint.join(supported(pairs, rules.support), ["entity", "term"]).checkpoint()
-    counts = document_counts(docs, "text", "row", strong.select("term").distinct(), copies, lot)
+    counts = document_counts(docs, strong.select("term").distinct(), copies)
     log2 = lambda c: F.log2(c.cast("double"))
     ic = log2(F.lit(total)) - log2(F.col("n_entity"))
     pmi = log2(F.lit(total)) + log2(F.col("joint")) - log2(F.col("n")) - log2(F.col("n_entity"))
@@ -254,45 +317,45 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, carry: bool = False, stored: bool = False) -> DataFrame:
-    """doc_id, ``base_spans`` and ``term_spans`` (arrays of kind, start, end), and with ``carry`` all other columns of
-    the input instead of doc_id. Terms come in several passes if there are more than a lot of them."""
-    flagged = disclosing_terms(docs, id_col, text_col, rules, lot, stored)
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, carry: bool = False) -> DataFrame:
+    """doc_id, ``base_spans``, ``secret_spans`` and ``term_spans`` (arrays of kind, start, end), and with ``carry`` all
+    other columns of the input instead of doc_id. Terms come in several passes if there are more than a lot of them."""
+    flagged = disclosing_terms(docs, text_col, rules)
     sets = [frozenset(r["term"] for r in part.select("term").collect()) for part in _lots(flagged, "term", lot)] or [frozenset()]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     ddl = "array<struct<kind:string,start:bigint,end:bigint>>"
 
     def spans_udf(words):
-        @F.arrow_udf(f"struct<base:{ddl},terms:{ddl}>")
+        @F.arrow_udf(f"struct<base:{ddl},secrets:{ddl},terms:{ddl}>")
         def run(col: pa.Array) -> pa.Array:
-            base, terms = [], []
+            rows = []
             for text in col.to_pylist():
-                b = find_base(text or "")
-                base.append(_dicts(b))
-                terms.append(_dicts(term_spans(text or "", b, words)))
-            return pa.StructArray.from_arrays([pa.array(base, span), pa.array(terms, span)], names=["base", "terms"])
+                base, secrets = find_base(text or ""), find_secrets(text or "")
+                rows.append((base, secrets, term_spans(text or "", base + secrets, words)))
+            return pa.StructArray.from_arrays([pa.array([_dicts(r[i]) for r in rows], span) for i in range(3)], names=["base", "secrets", "terms"])
 
         return run
 
-    found, base, terms = fresh(docs, "__found", "__base", "__terms")
+    found, base, secrets, terms = fresh(docs, "__found", "__base", "__secrets", "__terms")
     out = docs.withColumn(found, spans_udf(sets[0])(F.col(text_col)))
-    out = out.withColumn(base, F.col(found)["base"]).withColumn(terms, F.col(found)["terms"])
+    out = out.withColumn(base, F.col(found)["base"]).withColumn(secrets, F.col(found)["secrets"]).withColumn(terms, F.col(found)["terms"])
     for words in sets[1:]:
         out = out.withColumn(terms, F.array_sort(F.concat(terms, spans_udf(words)(F.col(text_col))["terms"])))
-    keep = [c for c in docs.columns if c not in ("base_spans", "term_spans")] if carry else [F.col(id_col).alias("doc_id")]
-    return out.select(*keep, F.col(base).alias("base_spans"), F.col(terms).alias("term_spans"))
+    own = {"base_spans": base, "secret_spans": secrets, "term_spans": terms}
+    keep = [c for c in docs.columns if c not in own] if carry else [F.col(id_col).alias("doc_id")]
+    return out.select(*keep, *[F.col(c).alias(name) for name, c in own.items()])
 
 
 def _dicts(spans):
     return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, distinct: bool = False) -> DataFrame:
+def sanitised(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), lot: int = LOT, distinct: bool = False) -> DataFrame:
     """The same columns with personal values replaced by their kind, and disclosing terms generalised or removed.
 
     Overlapping spans of different kinds are replaced as one, by the first kind.
     """
-    flagged = disclosing_terms(docs, id_col, text_col, rules, lot, distinct=distinct)
+    flagged = disclosing_terms(docs, text_col, rules, distinct)
     out = docs
     parts = list(_lots(flagged, "term", lot)) or [flagged]
     for i, part in enumerate(parts):
@@ -310,7 +373,7 @@ def _clean_udf(level: dict[str, float], remove_at: float, first: bool):
 
 
 def clean(text: str, level: dict[str, float], remove_at: float = 0.98, base_too: bool = True) -> str:
-    base = find_base(text) if base_too else []
+    base = find_base(text) + find_secrets(text) if base_too else []
     spans = sorted([(a, b, k) for k, a, b in base + term_spans(text, base, level.keys())])
     if not spans:
         return text
