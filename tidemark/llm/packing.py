@@ -1,17 +1,22 @@
 """Vector bin packing of tokenised examples into training sequences.
 
 Each example demands a vector (tokens, segments, loss-bearing tokens); a sequence offers (max_tokens, max_segments,
-max_loss). Bins are filled one at a time: of all waiting examples that fit, the one whose weighted demand has the
-largest dot product with what is left of the bin goes in next (weights: mean demand of the waiting ones). When none
-fits, the best partial fit is cut so that the bin is filled to the last token; its rest waits on. Whole chunks of
-``max_tokens`` of a long example are cut off first.
-
-Each task packs the rows it reads, from a pool of at most ``pool`` waiting examples, so nothing is shuffled, memory is
-bounded by the pool, and a lost task is simply run again with the same sequence ids (partition number and counter).
-What remains when a task's input ends is cut into sequences of power-of-two lengths, which need no padding.
-
-Defined cases: a null text is an empty one (it still has its end id); repeated rows and ids are examples of their own;
-an empty table gives no rows; further columns are ignored.
+max_loss). Its first tokens may be a prompt, which bears no loss (``prompt_of``; for the documents here the first line,
+if there are more). Bins are filled one at a time: of all waiting examples that fit, the one whose weighted demand has
+the largest dot product with what is left of the bin goes in next (weights: mean demand of the waiting ones). When none
+fits, the one that gives most is cut: up to the tokens left, and of those behind its prompt up to the loss tokens left;
+its rest waits on. So a bin whose loss is spent is still filled up with prompts.
+
+Sequences are padded unless their length is a power of two. One that can't be filled to 95 % (its segments are spent, or
+few examples are left) is cut back to a power of two, and what was cut off waits on.
+
+Each task packs the rows it reads, from a pool of at most ``pool`` waiting examples and ``pool_tokens`` tokens (beyond
+the last one read), so nothing is shuffled, memory is bounded by the pool, and a lost task is simply run again with the
+same sequence ids (partition number and counter).
+
+Defined cases: a null text is an empty one (it still has its end id); repeated rows and ids are examples of their own; a
+null id stays null; very long texts are cut into as many pieces as they need; an empty table gives no rows; further
+columns, also of the result's names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,16 @@ class Limits:
     segments: int = 1024
     loss: int = 4096
     pool: int = 1024
+    pool_tokens: int = 2_000_000
+
+
+#: Limits of the training sequences made of documents.
+TRAINING = Limits(tokens=4096, segments=16, loss=3968)
+
+
+def first_line(text: str) -> int:
+    """Characters of the first line, if there is another one behind it: the prompt of a document."""
+    return max(0, text.find("\n"))
 
 
 @dataclass
@@ -53,81 +68,83 @@ class Packer:
         n = limits.pool + 1
         self.doc = np.zeros(n, np.int64)
         self.start = np.zeros(n, np.int64)
+        self.prompt = np.zeros(n, np.int64)  # tokens of it that are still there
         self.need = np.zeros((n, 3))  # tokens, segments, loss tokens
-        self.n = 0
+        self.n = self.waiting = 0
         self.next_id = 0
         self.cap = np.array([limits.tokens, limits.segments, limits.loss], float)
 
-    def add(self, doc: int, tokens: int, loss: int) -> list[Piece]:
-        """Loss-bearing tokens are the first ``loss`` ones of the example."""
-        out, at = [], 0
-        step = min(self.lim.tokens, self.lim.loss) if loss else self.lim.tokens
-        while tokens - at >= step:
-            out.append(Piece(doc, at, step, self._id(), 0))
-            at += step
-        if tokens > at:
-            self._put(doc, at, tokens - at, max(0, min(loss, tokens) - at))
-            if self.n > self.lim.pool:
-                while self.n > self.lim.pool // 2:
-                    out += self._fill(self.lim.tokens)
+    def add(self, doc: int, tokens: int, prompt: int = 0) -> list[Piece]:
+        """An example; its first ``prompt`` tokens bear no loss."""
+        if not tokens:
+            return []
+        prompt = min(prompt, tokens)
+        i, self.n = self.n, self.n + 1
+        self.doc[i], self.start[i], self.prompt[i], self.need[i] = doc, 0, prompt, (tokens, 1, tokens - prompt)
+        self.waiting += tokens
+        out = []
+        if self.n > self.lim.pool or self.waiting > self.lim.pool_tokens:
+            while self.n > self.lim.pool // 2 or self.waiting > self.lim.pool_tokens // 2:
+                out += self._fill()
         return out
 
     def finish(self) -> list[Piece]:
         out = []
         while self.n:
-            total = int(self.need[: self.n, 0].sum())
-            full = total >= self.lim.tokens
-            out += self._fill(self.lim.tokens if full else 1 << (total.bit_length() - 1))
+            out += self._fill()
         return out
 
-    def _id(self) -> int:
-        self.next_id += 1
-        return self.next_id - 1
-
-    def _put(self, doc: int, start: int, tokens: int, loss: int) -> None:
-        self.doc[self.n], self.start[self.n], self.need[self.n] = doc, start, (tokens, 1, loss)
-        self.n += 1
-
-    def _drop(self, i: int) -> None:
-        self.n -= 1
-        self.doc[i], self.start[i], self.need[i] = self.doc[self.n], self.start[self.n], self.need[self.n]
-
-    def _fill(self, size: int) -> list[Piece]:
-        """One sequence of at most ``size`` tokens."""
-        room = np.minimum(self.cap, [size, self.cap[1], self.cap[2]])
-        limit = room.copy()
-        seq, at, out = self._id(), 0, []
-        weight = self.need[: self.n].mean(0) / self.cap**2
-        while self.n and room[0] >= 1 and room[1] >= 1:
-            need = self.need[: self.n]
+    def _choose(self) -> list[tuple[int, int]]:
+        """What goes into the next sequence: places in the pool, each once, and how many tokens of each."""
+        need, prompt = self.need[: self.n], self.prompt[: self.n]
+        room, free, takes = self.cap.copy(), np.ones(self.n, bool), []
+        weight = need.mean(0) / self.cap**2
+        while room[0] >= 1 and room[1] >= 1:
             score = need @ (weight * room)
-            fits = (need <= room).all(1)
+            fits = free & (need <= room).all(1)
             if fits.any():
                 i = int(np.where(fits, score, -1.0).argmax())
-                take, loss = int(need[i, 0]), need[i, 2]
+                take = int(need[i, 0])
             else:
-                # Cut: the loss tokens stand first, so a cut of ``take`` tokens bears min(take, loss) of them.
-                most = np.where(need[:, 2] > room[2], np.minimum(room[0], room[2]), room[0])
-                most = np.minimum(most, need[:, 0])
+                most = np.where(free, np.minimum(np.minimum(room[0], need[:, 0]), prompt + room[2]), 0)
                 if most.max() < 1:
                     break
                 i = int(np.where(most == most.max(), score, -1.0).argmax())
                 take = int(most[i])
-                loss = min(take, need[i, 2])
-            out.append(Piece(int(self.doc[i]), int(self.start[i]), take, seq, at))
+            takes.append((i, take))
+            free[i] = False
+            room = room - (take, 1, max(0, take - int(prompt[i])))
+        return takes
+
+    def _fill(self) -> list[Piece]:
+        """One sequence."""
+        takes = self._choose()
+        total = sum(t for _, t in takes)
+        if total < 0.95 * self.lim.tokens:
+            left, fitted = 1 << (total.bit_length() - 1), []
+            for i, take in takes:
+                if left:
+                    fitted.append((i, min(take, left)))
+                    left -= fitted[-1][1]
+            takes = fitted
+        at, out = 0, []
+        for i, take in takes:
+            out.append(Piece(int(self.doc[i]), int(self.start[i]), take, self.next_id, at))
             at += take
-            room = room - (take, 1, loss)
-            if take == need[i, 0]:
-                self._drop(i)
-            else:
-                self.start[i] += take
-                self.need[i] -= (take, 0, loss)
-        assert out and at <= limit[0]
+            self.start[i] += take
+            self.need[i] -= (take, 0, max(0, take - int(self.prompt[i])))
+            self.prompt[i] = max(0, int(self.prompt[i]) - take)
+        self.next_id += 1
+        self.waiting -= at
+        for i in sorted((i for i, _ in takes if not self.need[i, 0]), reverse=True):
+            self.n -= 1
+            for x in (self.doc, self.start, self.prompt, self.need):
+                x[i] = x[self.n]
         return out
 
 
 def pack_rows(rows: Iterable[tuple[object, bytes, int]], limits: Limits, task: int) -> Iterator[tuple]:
-    """(key, ids as u32 bytes, loss tokens) -> (key, start, length, crc32 of the piece's ids, all ids, sequence, offset)."""
+    """(key, ids as u32 bytes, prompt tokens) -> (key, start, length, crc32 of the piece's ids, all ids, sequence, offset)."""
     packer, live = Packer(limits), {}
 
     def place(pieces: list[Piece]):
@@ -140,17 +157,18 @@ def pack_rows(rows: Iterable[tuple[object, bytes, int]], limits: Limits, task: i
             else:
                 live[p.doc] = (key, ids, left - p.length)
 
-    for handle, (key, ids, loss) in enumerate(rows):
+    for handle, (key, ids, prompt) in enumerate(rows):
         n = len(ids) // 4
         live[handle] = (key, ids, n)
-        yield from place(packer.add(handle, n, loss))
+        yield from place(packer.add(handle, n, prompt))
     yield from place(packer.finish())
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", loss_of: Callable[[int], int] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt_of: Callable[[str], int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``loss_of`` gives the loss-bearing tokens of an example from its number of tokens; by default all of them bear loss.
+    ``prompt_of`` says how many characters of a text are its prompt, the tokens of which bear no loss (it must end where a
+    blank follows, so that they are the first ones of the text's tokens). By default there is none.
     """
     ids = pa.array([], pa.int64()).type
 
@@ -161,10 +179,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits
 
         def rows():
             for b in sliced(batches, 1):
-                for key, x in zip(b.column(0).to_pylist(), enc.encode_all(texts_of(b, 1)), strict=True):
-                    x += end
-                    n = len(x) // 4
-                    yield key, x, n if loss_of is None else loss_of(n)
+                for key, text in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
+                    prompt = prompt_of(text) if prompt_of is not None else 0
+                    yield key, enc.encode(text) + end, len(enc.encode(text[:prompt])) // 4 if prompt else 0
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         block: list[tuple] = []
