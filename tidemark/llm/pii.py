@@ -5,8 +5,8 @@ numbers), and secrets (16 characters or more assigned to a name such as token or
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log2(N n(t,e) / (n(t) n(e))),   IC(e) = log2(N / n(e)),
 
-with counts over all groups of near copies of the corpus (``jaccard``; a document without copies is a group), so that
-copies weigh one: 1 says that whoever reads the term can infer the entity. Terms of at least ``threshold`` for some
+with n(t,e), n(t) and n(e) in groups of near copies (``jaccard``; a document without copies is a group), so that copies
+weigh one, and N the number of distinct texts: 1 says that whoever reads the term can infer the entity. Terms of at least ``threshold`` for some
 entity are added to the spans, wherever they occur: at ``remove_at`` or more they are removed, below it generalised.
 ``support`` distinct contexts are asked for, however many documents there are, so that copies of one passage prove
 nothing, and a term that merely stands beside a value once isn't taken for its sign. A context is the set of the
@@ -16,10 +16,11 @@ spite of edits. Of each term and entity only the first ``support`` distinct ones
 A term is any run of letters and digits, however short or long, among the ``words`` nearest ones on either side of a
 mention; whether it is taken out is decided by its disclosure alone (frequent words disclose nothing).
 
-Counting. Pairs come only from windows around mentions. Counts of the candidate terms come from one pass over all whole
-texts: a filter of fixed size (``jaccard.bits_of``) goes to all tasks, which count the words that pass it; a join by
-word leaves the candidates. Documents are told apart by the hash of their text, so it doesn't matter how scans are
-split. Only the disclosing terms themselves go to all tasks, in lots of at most ``LOT`` (one more step for each lot).
+Counting. Pairs come only from windows around mentions; those with enough contexts are the candidates. One pass over
+all whole texts finds where candidate terms occur: a filter of fixed size (``jaccard.bits_of``) goes to all tasks, and a
+join leaves the candidates. Near copies are looked for among the documents that the counts need: those with a candidate
+term or entity. Documents are told apart by the hash of their text, so it doesn't matter how scans are split. Only the
+disclosing terms themselves go to all tasks, in lots of at most ``LOT`` (one more step for each lot).
 
 Defined cases: null texts count as empty; repeated rows are copies; null and repeated ids don't matter; very long texts
 are read whole; an empty table gives no rows; further columns, also of the names used here, are kept by ``sanitised``
@@ -29,7 +30,6 @@ and ignored elsewhere.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -219,50 +219,26 @@ class _Maybe(dict):
             self[word] = got
         return got
 
-    def of(self, text: str) -> list[str]:
-        """The distinct words of a text that pass."""
-        return [w for w in set(map(str.lower, set(_WORD.findall(text)))) if self[w]]
+    def of(self, text: str) -> list[int]:
+        """Hashes of the distinct words of a text that pass."""
+        return [_hash(w) for w in set(map(str.lower, set(_WORD.findall(text)))) if self[w]]
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, copies: DataFrame | None) -> DataFrame:
-    """(term, n): in how many groups of near copies each of the terms occurs; whole texts of all documents.
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, words) of the texts in which some of the terms (by hash ``h``) occur, and perhaps a few others: the hashes of
+    those words. Whole texts of all documents; equal texts share a row and are looked at once a batch."""
+    bits = bits_of(terms, "h")
 
-    ``docs`` has (row, text); ``copies`` has (row, keep) of the rows in groups of two or more documents; the others are
-    counted where they are read, and the former corrected: a group in which n documents hold a term counts 1.
-    """
-    bits = bits_of(terms.select(_hash_column(F.col("term")).alias("h")), "h")
-
-    def count(batches):
-        maybe, seen = _Maybe(bits), Counter()
-        for batch in sliced(batches, 0):
-            for text in texts_of(batch, 0):
-                seen.update(maybe.of(text))
-            if len(seen) > LOT:
-                yield _counted(seen)
-                seen.clear()
-        if seen:
-            yield _counted(seen)
-
-    def _counted(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-
-    def occur(batches):
+    def run(batches):
         maybe = _Maybe(bits)
         for batch in sliced(batches, 0):
-            # Equal texts, so equal rows, are looked at once a batch.
-            rows = Counter(batch.column(1).to_pylist())
             text = dict(zip(batch.column(1).to_pylist(), texts_of(batch, 0), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.int64()), pa.array([maybe.of(text[r]) for r in rows], pa.list_(pa.string()))], names=["row", "m", "terms"]
-            )
+            found = [(r, w) for r, t in text.items() if (w := maybe.of(t))]
+            if found:
+                r, w = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(w, pa.list_(pa.int64()))], names=["row", "words"])
 
-    texts = docs.select("text", "row")
-    got = texts.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    if copies is not None:
-        held = among(texts, copies).mapInArrow(occur, "row bigint, m bigint, terms array<string>").select("row", "m", F.explode("terms").alias("term"))
-        held = held.groupBy("row", "term").agg(F.sum("m").alias("m")).join(copies, "row").groupBy("keep", "term").agg(F.sum("m").alias("m"))
-        got = got.unionAll(held.groupBy("term").agg(F.sum(1 - F.col("m")).alias("n")))
-    return got.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text", "row").mapInArrow(run, "row bigint, words array<bigint>")
 
 
 def _hash_column(term):
@@ -283,26 +259,32 @@ class Rules:
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), distinct: bool = False) -> DataFrame:
     """(term, disclosure): terms whose disclosure of some entity reaches the threshold. ``distinct`` says that near copies
-    are out already, so each row counts as a group."""
-    ensure_checkpoint_dir(docs.sparkSession)
+    are out already, so each text is a group of its own."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.xxhash64(text).alias("row"), text.alias("text"))
     pairs = cooccurrence(docs, "text", "row", rules.words, rules.support).checkpoint()
-    total, copies, one = docs.count(), None, pairs
+    strong = supported(pairs, rules.support).checkpoint()
+    if strong.isEmpty():
+        return spark.createDataFrame([], "term string, disclosure double")
+    terms = strong.select("term").distinct().select("term", _hash_column(F.col("term")).alias("h")).checkpoint()
+    mentions = pairs.select("entity", "term", "row").distinct().join(strong.select("entity").distinct(), "entity", "left_semi").checkpoint()
+    held = occurrences(docs, terms).checkpoint()
+    needed = held.select("row").unionAll(mentions.select("row"))
+    of = lambda df: df.withColumn("keep", F.col("row"))
     if not distinct:
-        groups = near_groups(docs.select(F.struct(F.col("row").alias("id"), "row").alias("place"), "text"))
-        several = groups.groupBy("keep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
-        copies = groups.distinct().join(several.select("keep"), "keep").select("row", "keep").checkpoint()
-        total -= several.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
-        one = pairs.join(copies, "row", "left").withColumn("row", F.coalesce("keep", "row"))
-    joint = one.groupBy("entity", "term").agg(F.count_distinct("row").alias("joint")).checkpoint()
+        groups = near_groups(among(docs, needed).select(F.struct(F.col("row").alias("id"), "row").alias("place"), "text")).distinct().filter("row <> keep").checkpoint()
+        of = lambda df: df.join(groups, "row", "left").withColumn("keep", F.coalesce("keep", "row"))
+    total = docs.agg(F.count_distinct("row")).first()[0]
+    joint = of(mentions).groupBy("entity", "term").agg(F.count_distinct("keep").alias("joint")).checkpoint()
     entity = joint.filter("term = ''").select("entity", F.col("joint").alias("n_entity"))
-    strong = joint.join(supported(pairs, rules.support), ["entity", "term"]).checkpoint()
-    counts = document_counts(docs, strong.select("term").distinct(), copies)
+    where = held.select("row", F.explode("words").alias("h")).join(terms, "h").groupBy("row", "term").agg(F.lit(1).alias("x"))
+    counts = of(where).groupBy("term").agg(F.count_distinct("keep").alias("n"))
     log2 = lambda c: F.log2(c.cast("double"))
     ic = log2(F.lit(total)) - log2(F.col("n_entity"))
     pmi = log2(F.lit(total)) + log2(F.col("joint")) - log2(F.col("n")) - log2(F.col("n_entity"))
-    scored = strong.join(entity, "entity").join(counts, "term").select("term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("d"))
+    scored = joint.join(strong, ["entity", "term"]).join(entity, "entity").join(counts, "term").select("term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("d"))
     return scored.groupBy("term").agg(F.max("d").alias("disclosure")).filter(F.col("disclosure") >= rules.threshold).checkpoint()
 
 
