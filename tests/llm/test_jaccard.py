@@ -74,6 +74,18 @@ def test_groups(spark):
     assert near_copies_removed(docs.limit(0)).count() == 0
 
 
+def test_parts_of_a_bucket_meet(spark, monkeypatch):
+    """A hot bucket, cut into many parts, gives the same groups."""
+    from tidemark.llm import jaccard
+
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:40], f"own{i % 150}", *base[41:]])) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(i * 3, i * 3 + 60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "BUCKET", 600)
+    assert sorted(r["doc_id"] for r in near_copies_removed(docs).collect()) == [0, 1000]
+
+
 def test_bucket_finds_all_links():
     texts = [" ".join(f"c{j}" for j in range(i * 3, i * 3 + 60)) for i in range(30)] + ["other words than those of them all", ""]
     stars = link_bucket(list(range(32)), [shingles(t) for t in texts])

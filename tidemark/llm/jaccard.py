@@ -8,7 +8,8 @@ words is one shingle). Equal sets are one node from the start, so copies cost no
 Only nodes in buckets of two or more have their texts shuffled and their sets built again; buckets of the same members count once.
 A bucket is taken apart in one pass over its sorted run and gives a star for each of its components, not pairs, with
 all its links found. ``FIRST`` bands go first; of the others only those buckets are left to do whose members aren't in
-one component yet, so a large group of near copies isn't compared anew in each band.
+one component yet, so a large group of near copies isn't compared anew in each band. A very large bucket is cut into
+parts that meet in pairs.
 
 Defined cases: null texts count as empty; the texts of no words are one group; of repeated rows and ids the first row
 stays; an empty table gives no rows; further columns are kept.
@@ -36,6 +37,9 @@ FIRST = 4
 #: more of them through, which costs a shuffle of those and nothing else.
 FILTER_BITS = 1 << 26
 
+#: Hashes of a bucket, or of a part of one, that a task takes at a time (8 bytes each).
+BUCKET = 500_000
+
 _RANDOM = np.random.default_rng(SEED)
 _FLIP = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _TIMES = _RANDOM.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -61,18 +65,20 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketch(text: Column, words: int) -> Column:
-    """node: the set's hash; keys: its bucket in each band. Signed longs."""
+    """node: the set's hash; size: its size; keys: its bucket in each band. Signed longs."""
 
-    @F.arrow_udf("struct<node:bigint,keys:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,size:bigint,keys:array<bigint>>")
     def run(col: pa.Array) -> pa.Array:
         node = np.empty(len(col), np.uint64)
+        size = np.empty(len(col), np.int64)
         keys = np.empty((len(col), BANDS), np.uint64)
         for i, t in enumerate(col):
             h = shingles(t.as_py() or "", words)
             node[i] = xxhash.xxh64_intdigest(h.tobytes())
+            size[i] = len(h)
             keys[i] = band_keys(h)
         ends = pa.array(np.arange(len(col) + 1, dtype=np.int32) * BANDS)
-        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))], names=["node", "keys"])
+        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(size), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))], names=["node", "size", "keys"])
 
     return run(text)
 
@@ -142,8 +148,16 @@ def link_bucket(nodes: list[int], sets: list[np.ndarray], similarity: float = SI
 
 
 def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(band, key, node) of buckets -> edges (u, v) whose components are those of all links inside the buckets."""
-    dealt = members.join(sets, "node").select("band", "key", "node", "set").repartition("band", "key").sortWithinPartitions("band", "key")
+    """(band, key, parts, node) of buckets -> edges (u, v) whose components are those of all links inside the buckets.
+
+    A bucket of more than ``BUCKET`` hashes is cut into parts, and each pair of parts (or part with itself) is a bucket of
+    its own, so no task holds more than two parts, and all nodes of the bucket still meet.
+    """
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda other: F.least(other, own) * F.col("parts") + F.greatest(other, own))
+    spread = members.select("node", "band", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array(F.lit(0).cast("bigint")))).alias("pair"), "key")
+    spread = spread.select("node", F.xxhash64("band", "key", "pair").alias("key"), F.col("band").cast("bigint").alias("band"))
+    dealt = spread.join(sets, "node").select("band", "key", "node", "set").repartition("band", "key").sortWithinPartitions("band", "key")
 
     def run(batches):
         held, nodes, own = None, [], []
@@ -177,14 +191,15 @@ def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     near copies, the one of the smallest place. A text's row must be the same number whenever the rows are read; rows of
     equal texts may share one."""
     ensure_checkpoint_dir(rows.sparkSession)
-    prints = rows.select("place", _sketch(F.col("text"), words).alias("s")).select("place", "s.node", "s.keys").checkpoint()
-    nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("keys").alias("keys")).checkpoint()
+    prints = rows.select("place", _sketch(F.col("text"), words).alias("s")).select("place", "s.node", "s.size", "s.keys").checkpoint()
+    nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")).checkpoint()
 
-    entries = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    entries = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     mark = [F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")]
-    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *mark).filter("n > 1")
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
-    members = entries.join(buckets, ["band", "key"]).checkpoint()
+    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *mark).filter("n > 1")
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b"), F.first("size").alias("size"))
+    buckets = buckets.select("b.band", "b.key", F.least(F.col("n"), F.ceil(F.col("size") / BUCKET)).cast("bigint").alias("parts"))
+    members = entries.drop("size").join(buckets, ["band", "key"]).checkpoint()
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("low.row").alias("row")).checkpoint()
     # One text for each wanted row, also if rows with equal texts share a number (the join has put them together).
     texts = among(rows.select(F.col("place.row").alias("row"), "text"), wanted).join(wanted, "row").groupBy("row").agg(F.first("node").alias("node"), F.first("text").alias("text"))
