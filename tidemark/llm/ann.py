@@ -41,6 +41,7 @@ class Settings:
     probes: int = 100
     recall: float = 0.96
     shard: int = 20_000
+    queries: int = 100_000
     seed: int = 7
 
 
@@ -142,7 +143,7 @@ def train(valid: DataFrame, s: Settings) -> Quantiser | None:
     n = stats["n"]
     if not n:
         return None
-    rows = _sampled(valid, "v", s.train / n).select("v").distinct().limit(2 * s.train).toArrow()
+    rows = _sampled(valid, "v", s.train / n).select("v").distinct().orderBy(F.xxhash64("v")).limit(2 * s.train).toArrow()
     if not rows.num_rows:  # few vectors, all hashed away
         rows = valid.select("v").limit(s.train).toArrow()
     x = _matrix(rows.column(0))
@@ -157,8 +158,9 @@ def train(valid: DataFrame, s: Settings) -> Quantiser | None:
 def entries(valid: DataFrame, q: Quantiser, k: int) -> DataFrame:
     """Distinct vectors: v, ids (the k + 1 smallest, ascending), cell."""
     w = Window.partitionBy("v").orderBy("id")
-    low = valid.withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= k + 1)
-    classes = low.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    # Repeats go first, by id and vector, so that a row repeated a million times is one.
+    low = valid.distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+    classes = low.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
     def run(batches):
         for b in batches:
@@ -188,7 +190,8 @@ def needed_budget(index: DataFrame, probes: np.ndarray, counts: np.ndarray, q: Q
             n, sc, ce = [], [], []
             rough = probes @ x.T
             for i in range(len(probes)):
-                top = _best(x, probes[i], s.k + 1, rough[i])[: 4 * s.k]
+                top = _best(x, probes[i], s.k + 1, rough[i])
+                top = top[np.argsort(-rough[i][top], kind="stable")[: s.k + 1]]
                 n += [i] * len(top)
                 sc += rough[i][top].tolist()
                 ce += cell[top].tolist()
@@ -296,12 +299,20 @@ def search(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
                     found = sorted((-e, d) for e, t in zip(exact, top.tolist(), strict=True) for d in ids[order[t]])[: k + 1]
                     out.append((rep, [-e for e, _ in found], [d for _, d in found]))
         c = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"rep": pa.array(c[0], pa.int64()), "score": pa.array(c[1], pa.list_(pa.float64())), "id": pa.array(c[2], pa.list_(pa.int64()))})
+        shard = pa.repeat(right.column("shard")[0], len(out)) if out else pa.array([], pa.int64())
+        return pa.table({"shard": shard, "rep": pa.array(c[0], pa.int64()), "score": pa.array(c[1], pa.list_(pa.float64())), "id": pa.array(c[2], pa.list_(pa.int64()))})
 
+    # A shard meets its queries in blocks of at most about ``queries``, so no task holds more of either.
+    asking = queries.select("rep", "v").distinct()
+    blocks = max(1, -(-asking.count() // s.queries))
     placed = index.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 20))).mapInArrow(place, "shard bigint, v array<double>, ids array<bigint>, cell int")
-    planned = queries.select("rep", "v").distinct().mapInArrow(plan, "shard bigint, rep bigint, v array<double>, cells array<int>")
-    found = placed.groupBy("shard").cogroup(planned.groupBy("shard")).applyInArrow(scan, "rep bigint, score array<double>, id array<bigint>")
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    planned = asking.mapInArrow(plan, "shard bigint, rep bigint, v array<double>, cells array<int>").withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    found = placed.groupBy("shard", "block").cogroup(planned.groupBy("shard", "block")).applyInArrow(scan, "shard bigint, rep bigint, score array<double>, id array<bigint>")
+    # The best of each query in two steps, so that no group grows with the number of shards.
     pairs = F.zip_with("score", "id", lambda a, b: F.struct((-a).alias("minus"), b.alias("id")))
-    best = found.select("rep", pairs.alias("p")).groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("best"))
+    first = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p"))
+    parted = first(found.select("rep", F.pmod("shard", F.lit(64)).alias("part"), pairs.alias("p")), "rep", "part")
+    best = first(parted, "rep").withColumnRenamed("p", "best")
     mine = queries.select("id", "rep").join(best, "rep").select("id", F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k).alias("best"))
     return mine.select(F.col("id").alias("query_id"), F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.minus")).alias("score"))
