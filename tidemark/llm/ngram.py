@@ -18,15 +18,13 @@ context by context), and answers each slice with one block of sums per text. (4)
 
 Nothing but per-shard numbers reaches the driver. All counts cover all training texts; there are no cut-offs.
 
-Defined cases: null texts count as empty (only the end token); a null id counts as an empty id text; repeated rows are
+Defined cases: very long texts are read whole; null texts count as empty (only the end token); a null id counts as an empty id text; repeated rows are
 texts of their own; with no training text every word is unknown and scores zero; an empty table gives no rows;
 further columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 import zlib
 from collections import Counter
@@ -49,6 +47,8 @@ U64 = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: No word holds a blank, so this is none.
 END = b"\n"
+#: Vocabulary shards that a task holds open.
+OPEN = 64
 
 
 @dataclass(frozen=True)
@@ -73,26 +73,22 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter(map(digest, words), U64, len(words))
 
 
-def write_file(path: str, data: bytes) -> None:
-    """Under a name of the attempt's own first, so a lost task leaves no half file."""
+def write_file(path: str, data: bytes) -> str:
+    """Under a name that no other attempt has, which is returned: nothing is renamed or replaced."""
+    path = f"{path}-{uuid.uuid4().hex}"
     fs, p = filesystem(path)
-    temp = f"{p}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temp) as f:
+    with fs.open_output_stream(p) as f:
         f.write(data)
-    fs.move(temp, p)
+    return path
 
 
 def map_file(path: str) -> dict[str, np.ndarray]:
-    """Mapped arrays of a file; from a store without local paths it is fetched first."""
+    """Mapped arrays of a file. From a store without local paths it is read into memory; nothing is left on local disks."""
     fs, p = filesystem(path)
     if isinstance(fs, pafs.LocalFileSystem):
         return view(np.memmap(p, np.uint8, "r"))
-    local = os.path.join(tempfile.gettempdir(), f"{zlib.crc32(path.encode()):08x}-{os.path.basename(p)}")
-    if not os.path.exists(local):
-        temp = f"{local}.{uuid.uuid4().hex}"
-        pafs.copy_files(p, temp, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-        os.replace(temp, local)
-    return view(np.memmap(local, np.uint8, "r"))
+    with fs.open_input_stream(p) as f:
+        return view(f.read())
 
 
 @dataclass
@@ -119,6 +115,8 @@ class Vocabulary:
 
     def shard(self, s: int) -> tuple[EliasFano, np.ndarray]:
         if s not in self._open:
+            while len(self._open) >= OPEN:  # lookups come in the order of shards, so the oldest isn't asked for soon
+                self._open.pop(next(iter(self._open)))
             a = map_file(self.paths[s])
             self._open[s] = (EliasFano.of({k[2:]: x for k, x in a.items() if k.startswith("h.")}), a["counts"])
         return self._open[s]
@@ -207,12 +205,12 @@ def build_vocabulary(docs: DataFrame, folder: str, s: Settings) -> Vocabulary:
             n = np.concatenate([x for _, x in parts])
             order = np.argsort(h)
             kind = np.uint32 if n.max() < 1 << 32 else np.uint64
-            write_file(f"{folder}/words-{i:06d}", dump({f"h.{k}": v for k, v in EliasFano.build(h[order]).arrays().items()} | {"counts": n[order].astype(kind)}))
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([len(h)], pa.int64())], names=["shard", "v"])
+            path = write_file(f"{folder}/words-{i:06d}", dump({f"h.{k}": v for k, v in EliasFano.build(h[order]).arrays().items()} | {"counts": n[order].astype(kind)}))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([path])], names=["shard", "v", "path"])
 
-    sizes = {r["shard"]: r["v"] for r in counted.select("h", "n", place.alias("p")).repartitionById(shards, F.col("p")).mapInArrow(write, "shard bigint, v bigint").collect()}
-    paths = [f"{folder}/words-{i:06d}" if i in sizes else None for i in range(shards)]
-    bases = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(shards)], dtype=np.int64)])
+    written = {r["shard"]: r for r in counted.select("h", "n", place.alias("p")).repartitionById(shards, F.col("p")).mapInArrow(write, "shard bigint, v bigint, path string").collect()}
+    paths = [written[i]["path"] if i in written else None for i in range(shards)]
+    bases = np.concatenate([[0], np.cumsum([written[i]["v"] if i in written else 0 for i in range(shards)], dtype=np.int64)])
     return Vocabulary(paths, bases, bits, t["n"] or 0, t["texts"] or 0, t["one"] or 0, t["two"] or 0)
 
 
@@ -357,7 +355,7 @@ def _answer(blocks: list[tuple[int, bytes]], path: str, voc: Vocabulary, s: Sett
     n = np.diff(np.append(start, len(h)))
     h, w = h[start], w[start]
     learn = taught > 0
-    write_file(path, dump(shard_trie(h[learn], w[learn], taught[learn], voc, s)))
+    path = write_file(path, dump(shard_trie(h[learn], w[learn], taught[learn], voc, s)))
     score = np.repeat(pair_scores(h, w, map_file(path), voc, s), n)
     text = (doc >> 1).astype(np.int64)
     order = np.argsort(owner, kind="stable")
