@@ -23,6 +23,9 @@ class that fills the window goes to the transducer in parts.
 
 **Decoding** maps ids to bytes and those to text through an incremental UTF-8 automaton that keeps at most three
 bytes; malformed sequences give U+FFFD.
+
+Defined cases: a null text is an empty one (no ids); a very long text, or a very long word, takes constant memory; repeated
+rows and ids are rows of their own, and a null id stays null; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

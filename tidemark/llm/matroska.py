@@ -10,7 +10,9 @@ the byte ranges.
 Equal input gives equal files.
 
 Defined cases of the DataFrame functions: a null text is an empty one (64 zero bytes); a null medium has no packets;
-a damaged one gives one row with ``error`` set and nothing else; an empty table gives no rows.
+a damaged one, or one with numbers beyond 64 bits, gives one row with ``error`` set and nothing else; very long texts are
+one file each; repeated rows and ids are files of their own; a null id stays null; an empty table gives no rows; further
+columns, also of the result's names, are ignored.
 """
 
 from __future__ import annotations
@@ -347,7 +349,10 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 if data is None:
                     continue
                 try:
-                    rows += [(doc, p.track, p.timestamp_ns, p.offset, p.size, p.keyframe, p.cluster, p.block, None) for p in parse(data).packets]
+                    packets = parse(data).packets
+                    if any(not -(1 << 63) <= x < 1 << 63 for p in packets for x in (p.timestamp_ns, p.track)):
+                        raise Damaged("a timestamp or track is beyond 64 bits")
+                    rows += [(doc, p.track, p.timestamp_ns, p.offset, p.size, p.keyframe, p.cluster, p.block, None) for p in packets]
                 except (Damaged, struct.error) as e:
                     rows.append((doc, None, None, None, None, None, None, None, str(e)))
             if rows:

@@ -8,11 +8,11 @@ little-endian unsigned 32-bit integers, up to about ``FRAME_BYTES``; then two sk
   checksum is the low half of XXH64 of the uncompressed bytes; then frame count, a flag byte and the magic number.
 
 A reader of some documents fetches the two tables and the frames these documents are in, and checks their sums.
-Files are named by shard, in ascending doc_id order across and inside shards. A task writes under a name of its own
-and renames at the end, so a lost or repeated attempt leaves no half file.
+Shards are in ascending doc_id order, across and inside files. A task writes a file of a name that no other attempt has
+and returns it, so nothing is renamed, and a file that a lost attempt has left is in no list of shards.
 
-Defined cases: null text: empty (the end id only); a null doc_id sorts first; repeated ids stay, ordered by text;
-an empty table gives no files and no rows; further columns are ignored.
+Defined cases: null text: empty (the end id only); a null doc_id sorts first; repeated ids and rows stay, ordered by
+text; a very long text is a frame of its own; an empty table gives no files and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,26 +158,25 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         task = TaskContext.get().partitionId()
         fs, root = filesystem(folder)
         enc, end = Encoder.of(tokenizer), int(end_id).to_bytes(4, "little")
-        temp, name = f"{root}/.{task:06d}-{uuid.uuid4().hex}", f"{root}/shard-{task:06d}.tzs"
+        name = f"shard-{task:06d}-{uuid.uuid4().hex}.tzs"
         out = None
         for b in sliced(batches, 1):
             if out is None:
-                out = fs.open_output_stream(temp)
+                out = fs.open_output_stream(f"{root}/{name}")
                 w = TokenFileWriter(out)
             for d, ids in zip(b.column(0).to_pylist(), enc.encode_all(texts_of(b, 1)), strict=True):
                 w.add(_NULL_ID if d is None else d, ids + end)
         if out is not None:
             w.finish()
             out.close()
-            fs.move(temp, name)
-            yield pa.RecordBatch.from_pydict({"task": [task], "docs": [len(w.docs)], "ids": [w.ids]}, schema=pa.schema([(c, pa.int64()) for c in ("task", "docs", "ids")]))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (task, len(w.docs), w.ids)] + [pa.array([name])], names=["task", "docs", "ids", "name"])
 
     src = docs.select(docs[id_col].cast("bigint").alias("d"), docs[text_col].alias("x"))
     order = [F.col("d").asc_nulls_first(), F.xxhash64("x")]
     dealt = (src.repartitionByRange(partitions, *order) if partitions else src.repartitionByRange(*order)).sortWithinPartitions(F.col("d").asc_nulls_first(), "x")
     shards, first = [], 0
-    for r in sorted(dealt.mapInArrow(run, "task bigint, docs bigint, ids bigint").collect(), key=lambda r: r["task"]):
-        shards.append(Shard(f"{folder}/shard-{r['task']:06d}.tzs", first, r["docs"], r["ids"]))
+    for r in sorted(dealt.mapInArrow(run, "task bigint, docs bigint, ids bigint, name string").collect(), key=lambda r: r["task"]):
+        shards.append(Shard(f"{folder}/{r['name']}", first, r["docs"], r["ids"]))
         first += r["ids"]
     return shards
 
