@@ -1,18 +1,22 @@
 """Quality classifier from weak labels.
 
 1. **Labellers.** Overlapping heuristics look at each whole text and vote good, bad or not at all, in two groups: one
-   on quality (symbols, repetition, capitals, variety, letters, doubled marks), one on toxicity (three overlapping
-   lists of insults; a bounded sample of labelled rows may add words to them, as insults differ between languages).
-2. **Label model.** A text's votes are a pattern; the patterns are counted over all texts (at most 3^6 + 3^3 numbers,
+   on quality (symbols, repetition, capitals, variety, letters, doubled marks), one on toxicity: three lists of insults
+   without a common word, so that no word makes two of them agree, and one of word beginnings. A bounded sample of
+   labelled rows may add to them, as insults differ between languages: each learned word to one list (its hash says
+   which), and beginnings of ``STEM`` letters, which also find forms that no labelled text has.
+2. **Label model.** A text's votes are a pattern; the patterns are counted over all texts (at most 3^6 + 3^4 numbers,
    whatever the size of the corpus). Expectation-maximisation on these counts estimates each labeller's accuracy in
    both classes (how often it votes bad in each) and the share of the classes (Dawid and Skene, 1979), and
    from them each pattern's posterior.
 3. **Scorer.** Posteriors of a sample train two hashed linear scorers (logistic regression on the presence of hashed
-   words, of binned shape features and of bad votes). The sample is the only bounded part: ``sample`` texts (a hash of the text
-   decides), documented and enough for weights of words that occur in ``min_df`` of them or more.
+   words, of binned shape features and of bad votes). The sample is the only bounded part: about ``sample`` distinct texts
+   (those of the smallest hashes, twice as many at most), of each the shape and vote features and ``MOST`` hashed words.
+   Learned words come from at most ``rows`` labelled texts; a word or beginning is taken if it stands in ``LEAST``
+   different contexts of toxic texts, three times as often as in clean ones, with a likelihood ratio of 24 or more.
 4. **Decision.** All texts are scored; a text is kept if its quality is at least, and its toxicity below, one half.
 
-Defined cases: null and empty texts get no votes and keep the prior (they are kept); equal texts get equal results;
+Defined cases: very long texts are read whole; repeated rows and null ids don't matter; null and empty texts get no votes and keep the prior (they are kept); equal texts get equal results;
 with no texts at all, or none of one class, the prior decides; an empty table gives no rows; further columns are kept
 by ``quality_filter`` and ignored elsewhere.
 """
@@ -43,10 +47,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[!?]{2,}|([#$%&*~^=+<>\\|])\1+")
 _PAIRS = ("!!", "??", "!?", "?!", *(2 * c for c in "#$%&*~^=+<>\\|"))
 SYMBOLS = "|#$%&*<>{}[]\\^~="
-#: Fixed lists of insults; the toxicity labellers use overlapping parts of them.
-INSULTS_A = frozenset("idiot moron stupid dumb fool imbecile clown loser trash scum garbage pathetic".split())
-INSULTS_B = frozenset("loser trash scum pathetic worthless disgusting filth vermin freak creep jerk moron".split())
-INSULTS_C = frozenset("idiot stupid worthless disgusting clown hate hateful bastard bitch crap ugly liar".split())
+#: Fixed lists of insults, for three labellers; they share no word.
+INSULTS_A = frozenset("idiot moron dumb imbecile clown trash garbage vermin freak bastard liar".split())
+INSULTS_B = frozenset("stupid fool loser pathetic filth creep jerk bitch crap ugly".split())
+INSULTS_C = frozenset("scum worthless disgusting hate hateful".split())
+STEM = 5
+LEAST = 5
+MOST = 2048
+TOXIC = 4
 
 
 def _band(x: float, good: float, bad: float) -> int:
@@ -98,25 +106,37 @@ def quality_votes(s: Shape) -> list[int]:
     ]
 
 
-Lists = tuple[frozenset, frozenset, frozenset]
-LISTS: Lists = (INSULTS_A, INSULTS_B, INSULTS_C)
+#: Three lists of words, and one of beginnings.
+Lists = tuple[frozenset, frozenset, frozenset, frozenset]
+LISTS: Lists = (INSULTS_A, INSULTS_B, INSULTS_C, frozenset())
 
 
 def toxic_votes(words: set[str], lists: Lists = LISTS) -> list[int]:
-    """Toxic is BAD here; a list that finds nothing in a text with words says good."""
-    return [BAD if not words.isdisjoint(x) else GOOD if words else ABSTAIN for x in lists]
+    """Toxic is BAD here; a list that finds nothing in a text with words says good. No beginnings, no vote of theirs."""
+    if not words:
+        return [ABSTAIN] * TOXIC
+    votes = [GOOD if words.isdisjoint(x) else BAD for x in lists[:3]]
+    stems = lists[3]
+    return [*votes, ABSTAIN if not stems else GOOD if stems.isdisjoint(w[:STEM] for w in words) else BAD]
 
 
-def with_learned(words, lists: Lists = LISTS) -> Lists:
-    """Each learned word goes to two of the three lists."""
+def with_learned(marks, lists: Lists = LISTS) -> Lists:
+    """Learned words, each for one of the three lists, and beginnings (they end in ``*``)."""
     out = [set(x) for x in lists]
-    for w in words:
-        i = xxhash.xxh32_intdigest(w) % 3
-        out[i].add(w)
-        out[(i + 1) % 3].add(w)
+    fixed = set().union(*lists[:3])
+    for w in marks:
+        if w.endswith("*"):
+            out[3].add(w[:-1])
+        elif w not in fixed:
+            out[xxhash.xxh32_intdigest(w) % 3].add(w)
     return tuple(map(frozenset, out))
 
 
+def stems_of(words) -> set[str]:
+    """Beginnings of words that are longer than that, as marks."""
+    return {f"{w[:STEM]}*" for w in words if len(w) > STEM}
+
+
 def association(bad: np.ndarray, clean: np.ndarray, n_bad: int, n_clean: int) -> np.ndarray:
     """Likelihood-ratio statistic of words for the bad class, 0 where they lean to the other."""
     n = bad + clean
@@ -127,7 +147,8 @@ def association(bad: np.ndarray, clean: np.ndarray, n_bad: int, n_clean: int) ->
 
 
 def learned_insults(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = 20_000, least: float = 24.0) -> list[str]:
-    """Words that mark texts labelled toxic, from at most ``rows`` labelled rows (those of the smallest id hashes)."""
+    """Words, and beginnings of words (with a ``*``), that mark texts labelled toxic, from at most ``rows`` labelled rows
+    (those of the smallest id hashes)."""
     picked = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).filter("__toxic is not null").orderBy(F.xxhash64("__id"), "__toxic").limit(rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__toxic", "__text")
 
@@ -137,10 +158,12 @@ def learned_insults(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             found, around = [], []
             for toxic, text in zip(b.column(0).to_pylist(), texts_of(b, 1), strict=True):
                 if not toxic:
-                    clean.update((*words_of(text), ""))
+                    words = words_of(text)
+                    clean.update((*words, *stems_of(words), ""))
                     continue
                 words = list(map(str.lower, _WORD.findall(text)))
                 uses = {w: f"{x} {y}" for x, w, y in zip(["", *words], words, [*words[1:], ""], strict=False)}
+                uses |= {f"{w[:STEM]}*": around for w, around in uses.items() if len(w) > STEM}
                 uses[""] = text
                 found += uses.keys()
                 around += [xxhash.xxh64_intdigest(c) >> 1 for c in uses.values()]
@@ -153,7 +176,7 @@ def learned_insults(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # so that copies of a passage don't make its words suspect.
     counts = texts.mapInArrow(run, "w string, around bigint, clean bigint").groupBy("w").agg(F.count_distinct("around").alias("bad"), F.coalesce(F.sum("clean"), F.lit(0)).alias("clean"))
     # At most ``rows`` texts stand behind these counts, and only words that lean to the toxic ones come to the driver.
-    rows_ = counts.filter("w = '' or (bad >= 5 and bad >= 3 * clean)").toPandas()
+    rows_ = counts.filter(f"w = '' or (bad >= {LEAST} and bad >= 3 * clean)").toPandas()
     total = rows_[rows_["w"] == ""]
     if not len(total):
         return []
@@ -347,7 +370,7 @@ def fit(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None
     for r in counts:
         quality[r["q"]] += r["n"]
         toxicity[r["t"]] += r["n"]
-    qm, tm = LabelModel.fit(quality, 6), LabelModel.fit(toxicity, 3)
+    qm, tm = LabelModel.fit(quality, 6), LabelModel.fit(toxicity, TOXIC)
     total = sum(quality.values())
     part = F.pmod(F.xxhash64(text_col), F.lit(1 << 32)) < int(min(1.0, sample / max(1, total)) * (1 << 32))
 
@@ -356,15 +379,17 @@ def fit(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None
         rows = []
         for x in col:
             found, q, t = features_of(x or "", lists)
-            rows.append((np.unique([bucket(f, bits) for f in found] or [-1]).astype("<i4").tobytes(), pattern(q), pattern(t)))
+            known = np.unique([bucket(f, bits) for f in found] or [-1]).astype("<i4")
+            own = int(np.searchsorted(known, 1 << bits))
+            rows.append((np.concatenate([known[:own][:MOST], known[own:]]).tobytes(), pattern(q), pattern(t)))
         return pd.DataFrame(rows, columns=["f", "q", "t"])
 
     # Equal texts share a hash, so each text counts once: a group of copies can't flood the sample.
-    once = docs.select(F.col(text_col)).filter(part).distinct()
-    rows = once.select(features(F.col(text_col)).alias("x")).select("x.*").limit(2 * sample).toPandas()
+    once = docs.select(F.col(text_col).alias("text")).filter(part).distinct()
+    rows = once.select(features(F.col("text")).alias("x"), F.xxhash64("text").alias("h")).select("x.*", "h").orderBy("h", "f").limit(2 * sample).toPandas()
     feats = [np.frombuffer(f, "<i4") for f in rows["f"]]
     q = np.array([qm.posterior(votes_of(p, 6)) for p in rows["q"]])
-    t = np.array([tm.posterior(votes_of(p, 3)) for p in rows["t"]])
+    t = np.array([tm.posterior(votes_of(p, TOXIC)) for p in rows["t"]])
     return Model(qm, tm, Scorer.fit(feats, q, bits, min_df), Scorer.fit(feats, t, bits, min_df), lists)
 
 
