@@ -5,7 +5,7 @@ words is one shingle). Equal sets are one node from the start, so copies cost no
 ``BANDS`` bands of ``ROWS`` min-hashes: two texts of similarity s share a bucket but for a chance of
 (1 - s^ROWS)^BANDS, which is 5e-6 at 0.8 and less above. Every link is then checked on the whole sets.
 
-Only nodes in buckets of two or more have their texts shuffled and their sets built again; buckets of the same members count once.
+Only nodes in buckets of two or more have their texts shuffled (compressed) and their sets built again; buckets of the same members count once.
 A bucket is taken apart in one pass over its sorted run and gives a star for each of its components, not pairs, with
 all its links found. ``FIRST`` bands go first; of the others only those buckets are left to do whose members aren't in
 one component yet, so a large group of near copies isn't compared anew in each band. A very large bucket is cut into
@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def band_keys(hashes: np.ndarray) -> list[int]:
         part = x[i : i + 256] ^ _FLIP
         part *= _TIMES
         np.minimum(low, part.min(1), out=low)
-    return [xxhash.xxh64_intdigest(band.tobytes()) for band in low.reshape(BANDS, ROWS)]
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(low.reshape(BANDS, ROWS))]
 
 
 def _sketch(text: Column, words: int) -> Column:
@@ -83,10 +84,13 @@ def _sketch(text: Column, words: int) -> Column:
     return run(text)
 
 
-def _set(text: Column, words: int) -> Column:
-    @F.arrow_udf("array<bigint>")
+def _packed(text: Column) -> Column:
+    """The text, compressed: it is smaller than its set in a shuffle, and gives it."""
+
+    @F.arrow_udf("binary")
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_py() or "", words).view(np.int64) for t in col], pa.list_(pa.int64()))
+        z = zstandard.ZstdCompressor(level=1)
+        return pa.array([z.compress((t.as_py() or "").encode()) for t in col], pa.binary())
 
     return run(text)
 
@@ -110,13 +114,18 @@ def maybe_in(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``texts`` without most rows whose ``row`` isn't among the wanted ones (an exact join must follow)."""
-    bits = bits_of(wanted, "row")
+    return maybe(texts, "row", wanted)
+
+
+def maybe(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``df`` without most rows whose long isn't in the same column of ``wanted``."""
+    bits = bits_of(wanted, column)
 
     @F.arrow_udf("boolean")
-    def run(row: pa.Array) -> pa.Array:
-        return pa.array(maybe_in(bits, row.to_numpy()))
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array(maybe_in(bits, x.to_numpy()))
 
-    return texts.filter(run(F.col("row")))
+    return df.filter(run(F.col(column)))
 
 
 def link_bucket(nodes: list[int], sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -147,8 +156,8 @@ def link_bucket(nodes: list[int], sets: list[np.ndarray], similarity: float = SI
     return out
 
 
-def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(band, key, parts, node) of buckets -> edges (u, v) whose components are those of all links inside the buckets.
+def _links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(band, key, parts, node) of buckets, and (node, packed) -> edges (u, v) whose components are those of all links inside the buckets.
 
     A bucket of more than ``BUCKET`` hashes is cut into parts, and each pair of parts (or part with itself) is a bucket of
     its own, so no task holds more than two parts, and all nodes of the bucket still meet.
@@ -156,21 +165,20 @@ def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda other: F.least(other, own) * F.col("parts") + F.greatest(other, own))
     spread = members.select("node", "band", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array(F.lit(0).cast("bigint")))).alias("pair"), "key")
-    spread = spread.select("node", F.xxhash64("band", "key", "pair").alias("key"), F.col("band").cast("bigint").alias("band"))
-    dealt = spread.join(sets, "node").select("band", "key", "node", "set").repartition("band", "key").sortWithinPartitions("band", "key")
+    spread = spread.select("node", "key", F.col("pair").cast("int").alias("pair"))
+    dealt = spread.join(texts, "node").select("key", "pair", "node", "packed").repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def run(batches):
         held, nodes, own = None, [], []
         out: list[tuple[int, int]] = []
+        z = zstandard.ZstdDecompressor()
         for b in batches:
-            values = b.column(3).values.to_numpy().view(np.uint64)
-            ends = b.column(3).offsets.to_numpy()
-            for i, (band, key, node) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
-                if (band, key) != held:
+            for key, pair, node, packed in zip(*(b.column(c) for c in range(4)), strict=True):
+                if (key.as_py(), pair.as_py()) != held:
                     out += link_bucket(nodes, own, similarity) if len(nodes) > 1 else []
-                    held, nodes, own = (band, key), [], []
-                nodes.append(node)
-                own.append(values[ends[i] : ends[i + 1]].copy())
+                    held, nodes, own = (key.as_py(), pair.as_py()), [], []
+                nodes.append(node.as_py())
+                own.append(shingles(z.decompress(packed.as_py()).decode(), words))
             if out:
                 yield _edges(out)
                 out = []
@@ -194,22 +202,22 @@ def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     prints = rows.select("place", _sketch(F.col("text"), words).alias("s")).select("place", "s.node", "s.size", "s.keys").checkpoint()
     nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")).checkpoint()
 
+    # Buckets are told apart by key alone (the band is in it), and those of the same members by number, sizes and a mark.
     entries = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
-    mark = [F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")]
-    buckets = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), *mark).filter("n > 1")
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b"), F.first("size").alias("size"))
-    buckets = buckets.select("b.band", "b.key", F.least(F.col("n"), F.ceil(F.col("size") / BUCKET)).cast("bigint").alias("parts"))
-    members = entries.drop("size").join(buckets, ["band", "key"]).checkpoint()
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.min("band").alias("band")).filter("n > 1")
+    buckets = buckets.groupBy("n", "size", "x").agg(F.min(F.struct("band", "key")).alias("b"))
+    buckets = buckets.select("b.key", F.least(F.col("n"), F.ceil(F.col("size") / BUCKET)).cast("bigint").alias("parts")).checkpoint()
+    members = maybe(entries.drop("size"), "key", buckets).join(buckets, "key").checkpoint()
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("low.row").alias("row")).checkpoint()
     # One text for each wanted row, also if rows with equal texts share a number (the join has put them together).
-    texts = among(rows.select(F.col("place.row").alias("row"), "text"), wanted).join(wanted, "row").groupBy("row").agg(F.first("node").alias("node"), F.first("text").alias("text"))
-    sets = texts.select("node", _set(F.col("text"), words).alias("set")).checkpoint()
+    texts = among(rows.select(F.col("place.row").alias("row"), "text"), wanted).select("row", _packed(F.col("text")).alias("packed"))
+    texts = texts.join(wanted, "row").groupBy("row").agg(F.first("node").alias("node"), F.first("packed").alias("packed")).select("node", "packed").checkpoint()
 
-    first = _links(members.filter(F.col("band") < FIRST), sets, similarity).checkpoint()
+    first = _links(members.filter(F.col("band") < FIRST), texts, words, similarity).checkpoint()
     known = components(first)
     later = members.filter(F.col("band") >= FIRST).join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = later.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band", "key")
-    second = _links(later.drop("root").join(open_, ["band", "key"]), sets, similarity)
+    open_ = later.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    second = _links(later.drop("root").join(open_, "key"), texts, words, similarity)
     member = components(first.unionAll(second))
 
     linked = nodes.join(member, "node").select("node", "root", "low")
