@@ -5,8 +5,8 @@ numbers), and secrets (16 characters or more assigned to a name such as token or
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI = log2(N n(t,e) / (n(t) n(e))),   IC(e) = log2(N / n(e)),
 
-with n(t,e), n(t) and n(e) in groups of near copies (``jaccard``; a document without copies is a group), so that copies
-weigh one, and N the number of distinct texts: 1 says that whoever reads the term can infer the entity. Terms of at least ``threshold`` for some
+with counts over all groups of near copies of the corpus (``jaccard``; a document without copies is a group), so that
+copies weigh one: 1 says that whoever reads the term can infer the entity. Terms of at least ``threshold`` for some
 entity are added to the spans, wherever they occur: at ``remove_at`` or more they are removed, below it generalised.
 ``support`` distinct contexts are asked for, however many documents there are, so that copies of one passage prove
 nothing, and a term that merely stands beside a value once isn't taken for its sign. A context is the set of the
@@ -18,9 +18,8 @@ mention; whether it is taken out is decided by its disclosure alone (frequent wo
 
 Counting. Pairs come only from windows around mentions; those with enough contexts are the candidates. One pass over
 all whole texts finds where candidate terms occur: a filter of fixed size (``jaccard.bits_of``) goes to all tasks, and a
-join leaves the candidates. Near copies are looked for among the documents that the counts need: those with a candidate
-term or entity. Documents are told apart by the hash of their text, so it doesn't matter how scans are split. Only the
-disclosing terms themselves go to all tasks, in lots of at most ``LOT`` (one more step for each lot).
+join leaves the candidates. Documents are told apart by the hash of their text, so it doesn't matter how scans are
+split. Only the disclosing terms themselves go to all tasks, in lots of at most ``LOT`` (one more step for each lot).
 
 Defined cases: null texts count as empty; repeated rows are copies; null and repeated ids don't matter; very long texts
 are read whole; an empty table gives no rows; further columns, also of the names used here, are kept by ``sanitised``
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced, texts_of
-from tidemark.llm.jaccard import FILTER_BITS, among, bits_of, near_groups
+from tidemark.llm.jaccard import FILTER_BITS, bits_of, near_groups
 from tidemark.shared import ensure_checkpoint_dir, fresh
 
 KINDS = ("email", "ip", "card", "phone")
@@ -260,23 +259,20 @@ class Rules:
 def disclosing_terms(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), distinct: bool = False) -> DataFrame:
     """(term, disclosure): terms whose disclosure of some entity reaches the threshold. ``distinct`` says that near copies
     are out already, so each text is a group of its own."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.xxhash64(text).alias("row"), text.alias("text"))
     pairs = cooccurrence(docs, "text", "row", rules.words, rules.support).checkpoint()
     strong = supported(pairs, rules.support).checkpoint()
-    if strong.isEmpty():
-        return spark.createDataFrame([], "term string, disclosure double")
     terms = strong.select("term").distinct().select("term", _hash_column(F.col("term")).alias("h")).checkpoint()
     mentions = pairs.select("entity", "term", "row").distinct().join(strong.select("entity").distinct(), "entity", "left_semi").checkpoint()
     held = occurrences(docs, terms).checkpoint()
-    needed = held.select("row").unionAll(mentions.select("row"))
+    total = docs.agg(F.count_distinct("row")).first()[0]
     of = lambda df: df.withColumn("keep", F.col("row"))
     if not distinct:
-        groups = near_groups(among(docs, needed).select(F.struct(F.col("row").alias("id"), "row").alias("place"), "text")).distinct().filter("row <> keep").checkpoint()
+        groups = near_groups(docs.select(F.struct(F.col("row").alias("id"), "row").alias("place"), "text")).distinct().filter("row <> keep").checkpoint()
+        total -= groups.count()
         of = lambda df: df.join(groups, "row", "left").withColumn("keep", F.coalesce("keep", "row"))
-    total = docs.agg(F.count_distinct("row")).first()[0]
     joint = of(mentions).groupBy("entity", "term").agg(F.count_distinct("keep").alias("joint")).checkpoint()
     entity = joint.filter("term = ''").select("entity", F.col("joint").alias("n_entity"))
     where = held.select("row", F.explode("words").alias("h")).join(terms, "h").groupBy("row", "term").agg(F.lit(1).alias("x"))
