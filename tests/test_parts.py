@@ -151,6 +151,18 @@ def test_greedy_chunks(spark, seed, target):
     assert c.greedy_chunks(df.limit(0), ["k"], "size", target).count() == 0
 
 
+def test_many_chunks_in_a_partition(spark):
+    """Rows look their chunk up; no row carries, or goes through, all the chunks of its partition."""
+    sizes = spark.range(0, 60_000, 1, 1).select("id", (F.col("id") % 7 + 1).alias("size"), F.lit(None).cast("string").alias("__file"))
+    out = c.greedy_chunks(sizes, ["id"], "size", 8, [])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "array<bigint>" not in plan
+    got = out.orderBy("id").collect()
+    want = c.pack_bytes([i % 7 + 1 for i in range(60_000)], 8)
+    assert out.columns == ["id", "size", "__file", "chunk_id"] and len(want) > 20_000
+    assert [x["chunk_id"] for x in got] == [i + 1 for i, w in enumerate(want) for _ in range(w.records)]
+
+
 def test_plan_is_made_of_whole_records(spark):
     sizes = spark.range(5000).select("id", (F.col("id") % 977 + 20).alias("size"))
     plan = c.plan_chunks(sizes, ["id"], "size", c.Config(memory=1 << 20, threads=4, min_chunk=1 << 16, max_chunk=1 << 19))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import bisect
 import math
 import uuid
+from array import array
+from collections import deque
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -174,11 +176,12 @@ def greedy_chunks(df: DataFrame, keys: Sequence[str], size: str, target: int, ti
 
     Where a chunk closes depends on all rows before, but of these only on the bytes left open. So each sorted partition
     writes its running bytes and, for every row that can be the first to close a chunk in it, what is then left open at
-    its end; the driver walks over partitions (a binary search in each one's file), and each partition then finds its
-    own closing rows. Rows are shuffled once, by the sort.
+    its end; the driver walks over partitions (a binary search in each one's file), and each partition then writes its
+    own closing rows, in which each row looks up its chunk. Rows are shuffled once, by the sort, and the closing rows of
+    a partition never stand in a row.
     """
     spark = df.sparkSession
-    part, at, file, base, ends = fresh(df, "__part", "__at", "__file", "__base", "__ends")
+    part, at, file = fresh(df, "__part", "__at", "__file")
     folder = shared_dir(spark, "chunks")
     column = df.columns.index(size)
     mid = F.monotonically_increasing_id()
@@ -219,21 +222,42 @@ def greedy_chunks(df: DataFrame, keys: Sequence[str], size: str, target: int, ti
     def closing(batches):
         fs, root = filesystem(folder)
         for b in batches:
-            for p, own, before, open_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for own, open_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with fs.open_input_stream(f"{root}/{own}") as f:
                     cum = np.frombuffer(f.read(), "<i8")
-                rows, need = [], target - open_
+                rows, need = array("q"), target - open_
                 while (i := int(np.searchsorted(cum, need))) < len(cum):
                     rows.append(i)
                     need = int(cum[i]) + target
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([before], pa.int64()), pa.array([rows], pa.list_(pa.int64()))], names=[part, base, ends])
+                to = f"{own}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(f"{root}/{to}") as f:
+                    f.write(np.array(rows, "<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([to])], names=["file", "ends"])
+
+    def numbered(batches):
+        fs, root = filesystem(folder)
+        held, ends, before = None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = b.column(file_at).dictionary_encode()
+            code, rows, chunk = place.indices.to_numpy(), b.column(row_at).to_numpy(), np.empty(b.num_rows, np.int64)
+            for i, own in enumerate(place.dictionary.to_pylist()):
+                if own != held:
+                    held, (before, to) = own, ends_of[own]
+                    with fs.open_input_stream(f"{root}/{to}") as f:
+                        ends = np.frombuffer(f.read(), "<i8")
+                mine = code == i
+                chunk[mine] = before + 1 + np.searchsorted(ends, rows[mine])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(chunk)], names=names)
 
     one_each = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(len(parts))
     found = {r["file"]: r for r in one_each([(r[file],) for r in parts], "file string").mapInArrow(steps, "file string, steps string, m bigint, bytes bigint").collect()}
     fs, root = filesystem(folder)
-    open_, closed, states = 0, 0, []
+    open_, closed, states, earlier = 0, 0, [], {}
     for r in parts:
-        states.append((r[part], r[file], closed, open_))
+        states.append((r[file], open_))
+        earlier[r[file]] = closed
         own = found[r[file]]
         if open_ + own["bytes"] < target:
             open_ += own["bytes"]
@@ -243,10 +267,11 @@ def greedy_chunks(df: DataFrame, keys: Sequence[str], size: str, target: int, ti
             i = bisect.bisect_left(_Longs(f, 0, m), target - open_)
             open_ = _Longs(f, m, m)[i]
             closed += _Longs(f, 2 * m, m)[i]
-    of = one_each(states, "part bigint, file string, closed bigint, open bigint").mapInArrow(closing, f"`{part}` bigint, `{base}` bigint, `{ends}` array<bigint>")
-    out = placed.join(of, part)
-    earlier = F.size(F.filter(ends, lambda e: e < F.col(at)))
-    return out.withColumn(name, (F.col(base) + 1 + earlier).cast("bigint")).drop(part, at, file, base, ends)
+    to = one_each(states, "file string, open bigint").mapInArrow(closing, "file string, ends string").collect()
+    ends_of = {r["file"]: (earlier[r["file"]], r["ends"]) for r in to}
+    kept, names = range(len(df.columns)), [*df.columns, name]
+    row_at, file_at = placed.columns.index(at), placed.columns.index(file)
+    return placed.mapInArrow(numbered, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def chunk_list(rows: DataFrame, size: str, name: str = "chunk_id") -> list[Chunk]:
@@ -266,11 +291,11 @@ def balance(chunks: Sequence[Chunk]) -> list[Chunk]:
     if all(0.8 * mean <= c.length <= 1.2 * mean for c in chunks):
         return list(chunks)
     out: list[Chunk] = []
-    rest = list(chunks)
+    rest = deque(chunks)
     while rest:
-        head = rest.pop(0)
+        head = rest.popleft()
         if rest and head.length < 0.8 * mean and head.length + rest[0].length <= 1.5 * mean:
-            tail = rest.pop(0)
+            tail = rest.popleft()
             head = Chunk(head.start, head.length + tail.length, head.records + tail.records)
         out.append(head)
     return out
