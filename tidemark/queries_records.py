@@ -189,7 +189,9 @@ def chunk_rules(spark, d):
 
 
 def _doc_sizes(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce(record_bytes(F.col("text")), F.lit(HEADER_BYTES)).cast("bigint").alias("size"))
+    """Stored, so that the texts are read once, not for each pass over their sizes."""
+    sizes = table(spark, d, "documents").select("doc_id", F.coalesce(record_bytes(F.col("text")), F.lit(HEADER_BYTES)).cast("bigint").alias("size"))
+    return sort.stored(sizes, "sizes")
 
 
 def pack_bytes(spark, d):
