@@ -171,3 +171,15 @@ def test_plan_is_made_of_whole_records(spark):
         at += i % 977 + 20
         starts.add(at)
     assert all(x.start in starts for x in plan.chunks) and sum(x.records for x in plan.chunks) == 5000 and sum(x.length for x in plan.chunks) == at
+
+
+def test_shuffles_dropped(spark):
+    from tidemark.shared import shuffles_dropped
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+        held = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().checkpoint()
+    assert spark.conf.get(key, None) == before
+    assert sorted(r["count"] for r in held.collect()) == [142] * 1 + [143] * 6

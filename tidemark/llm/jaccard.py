@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.simhash import _LOWER, SEED
 from tidemark.operators.sort import stored
-from tidemark.shared import ensure_checkpoint_dir, fresh
+from tidemark.shared import ensure_checkpoint_dir, fresh, shuffles_dropped
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -199,6 +199,11 @@ def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     near copies, the one of the smallest place. A text's row must be the same number whenever the rows are read; rows of
     equal texts may share one."""
     ensure_checkpoint_dir(rows.sparkSession)
+    with shuffles_dropped(rows.sparkSession):
+        return _near_groups(rows, words, similarity)
+
+
+def _near_groups(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     prints = rows.select("place", _sketch(F.col("text"), words).alias("s")).select("place", "s.node", "s.size", "s.keys").checkpoint()
     nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")).checkpoint()
 

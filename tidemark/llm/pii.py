@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import sliced, texts_of
 from tidemark.llm.jaccard import FILTER_BITS, bits_of, near_groups
-from tidemark.shared import ensure_checkpoint_dir, fresh
+from tidemark.shared import ensure_checkpoint_dir, fresh, shuffles_dropped
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
@@ -260,6 +260,11 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", rules: Rules = Rul
     """(term, disclosure): terms whose disclosure of some entity reaches the threshold. ``distinct`` says that near copies
     are out already, so each text is a group of its own."""
     ensure_checkpoint_dir(docs.sparkSession)
+    with shuffles_dropped(docs.sparkSession):
+        return _disclosing_terms(docs, text_col, rules, distinct)
+
+
+def _disclosing_terms(docs: DataFrame, text_col: str, rules: Rules, distinct: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.xxhash64(text).alias("row"), text.alias("text"))
     pairs = cooccurrence(docs, "text", "row", rules.words, rules.support).checkpoint()

@@ -71,6 +71,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark, since)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What an action inside the block has shuffled is deleted as the action ends, not when the driver happens to collect
+    its garbage. For steps that store their results, so that no later one reads those files."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that a DataFrame doesn't have yet (in any case of letters), made of the given ones."""
     taken = {c.lower() for c in df.columns}
