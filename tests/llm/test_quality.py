@@ -201,3 +201,16 @@ def test_no_word_makes_two_labellers_agree():
 def test_scorer_with_one_class():
     s = Scorer.fit([np.array([1, 2])], np.array([0.9]), 18, 1)
     assert s.score([]) > 0.5
+
+
+def test_a_worker_forgets_the_tokenizers_words():
+    import public_tokenizers
+
+    from tidemark.llm import encoding
+    from tidemark.llm.batches import lean
+
+    encoding.Encoder.of(public_tokenizers.path("word_bpe_49k.json")).encode("some words")
+    lean(encoders=True)
+    assert encoding._cache
+    lean()
+    assert not encoding._cache

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +16,28 @@ from pyspark.sql import DataFrame
 SLICE_BYTES = 4 << 20
 
 
+#: When this process has last given memory back.
+_lean = [0.0]
+
+
+def lean(encoders: bool = False) -> None:
+    """For functions of tasks, as they start or take a batch. A worker process serves one stage after another, so what
+    earlier ones remember (words of tokenizers, unless ``encoders`` says that they are in use) is forgotten, and memory
+    that is free goes back to the system, at most every two seconds."""
+    kept = getattr(sys.modules.get("tidemark.llm.encoding"), "_cache", None)
+    if kept and not encoders:
+        kept.clear()
+        gc.collect()  # an encoder and its tables hold each other
+    elif time.monotonic() - _lean[0] < 2:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+    _lean[0] = time.monotonic()
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

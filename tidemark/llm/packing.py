@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import sliced, texts_of
+from tidemark.llm.batches import lean, sliced, texts_of
 from tidemark.llm.encoding import Encoder
 
 
@@ -175,6 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits
     def run(batches):
         from pyspark import TaskContext
 
+        lean(encoders=True)
         enc, end = Encoder.of(tokenizer), int(end_id).to_bytes(4, "little")
 
         def rows():

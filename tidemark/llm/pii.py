@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import sliced, texts_of
+from tidemark.llm.batches import lean, sliced, texts_of
 from tidemark.llm.jaccard import FILTER_BITS, bits_of, near_groups
 from tidemark.shared import ensure_checkpoint_dir, fresh, shuffles_dropped
 
@@ -142,6 +142,7 @@ def cooccurrence(docs: DataFrame, text_col: str, row: str, words: int, support:
     rows of a pair only for further contexts; a row without a term for each entity of a document."""
 
     def run(batches):
+        lean()
         kept: dict[tuple[int, str], list[frozenset]] = {}
         for batch in (s for b in batches for s in sliced([b], 0)):
             out = []
@@ -229,6 +230,7 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bits = bits_of(terms, "h")
 
     def run(batches):
+        lean()
         maybe = _Maybe(bits)
         for batch in sliced(batches, 0):
             text = dict(zip(batch.column(1).to_pylist(), texts_of(batch, 0), strict=True))
@@ -350,6 +352,7 @@ def sanitised(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), l
 def _clean_udf(level: dict[str, float], remove_at: float, first: bool):
     @F.arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
+        lean()
         return pa.array([None if t is None else clean(t, level, remove_at, first) for t in col.to_pylist()], pa.string())
 
     return run

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import sliced, texts_of
+from tidemark.llm.batches import lean, sliced, texts_of
 from tidemark.shared import fresh
 
 
@@ -153,6 +153,7 @@ def learned_insults(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__toxic", "__text")
 
     def run(batches):
+        lean()
         clean: Counter = Counter()
         for b in sliced(batches, 1):
             found, around = [], []
@@ -361,6 +362,7 @@ def fit(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None
 
     @F.pandas_udf("struct<q:int,t:int>")
     def votes(col: pd.Series) -> pd.DataFrame:
+        lean()
         rows = [(pattern(q), pattern(t)) for q, t in (votes_for(x or "", lists) for x in col)]
         return pd.DataFrame(rows, columns=["q", "t"])
 
@@ -376,6 +378,7 @@ def fit(docs: DataFrame, text_col: str = "text", labels: DataFrame | None = None
 
     @F.pandas_udf("struct<f:binary,q:int,t:int>")
     def features(col: pd.Series) -> pd.DataFrame:
+        lean()
         rows = []
         for x in col:
             found, q, t = features_of(x or "", lists)
@@ -406,6 +409,7 @@ def scores(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("struct<quality:double,toxicity:double>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lean()
         weights = Weights(model)
         for col in it:
             rows = [score_text(model, x or "", weights) for x in col]
