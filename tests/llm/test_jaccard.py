@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from tidemark.llm.jaccard import link_bucket, near_copies_removed, shingles
+from tidemark.llm.jaccard import fingerprint_groups, link_bucket, near_copies_removed, shingles
 from tidemark.llm.pii import find_base
 
 
@@ -86,6 +86,17 @@ def test_parts_of_a_bucket_meet(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in near_copies_removed(docs).collect()) == [0, 1000]
 
 
+def test_fingerprints_come_first(spark):
+    """Nodes whose fingerprints are linked by up to three bits share a bucket, over any number of steps."""
+    far = 0x7FFF << 32
+    rows = [(1, 10, 0), (2, 10, 0b111), (3, 10, 0b111_111), (4, 10, far), (5, 10, far), (6, 10, -1), (7, 10, 0xFF << 20)]
+    got = fingerprint_groups(spark.createDataFrame(rows, "node bigint, size bigint, fp bigint")).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["key"]].add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5]] and {r["parts"] for r in got} == {1}
+
+
 def test_bucket_finds_all_links():
     texts = [" ".join(f"c{j}" for j in range(i * 3, i * 3 + 60)) for i in range(30)] + ["other words than those of them all", ""]
     stars = link_bucket(list(range(32)), [shingles(t) for t in texts])

@@ -11,6 +11,11 @@ all its links found. ``FIRST`` bands go first; of the others only those buckets
 one component yet, so a large group of near copies isn't compared anew in each band. A very large bucket is cut into
 parts that meet in pairs.
 
+``near_copies_removed`` goes by SimHash first: 64-bit fingerprints of the sets, linked at ``simhash.DISTANCE`` differing bits
+by ``simhash.links`` (blocks, distance verified); each component of fingerprints is a bucket, checked like the others.
+At 0.8 two fingerprints differ in about 10 bits, which no blocks of 64 bits find in buckets that stay small, so the bands
+give the links that are further apart.
+
 Defined cases: null texts count as empty; the texts of no words are one group; of repeated rows and ids the first row
 stays; an empty table gives no rows; further columns are kept.
 """
@@ -24,8 +29,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import lean
 from tidemark.llm.components import components
-from tidemark.llm.simhash import _LOWER, SEED
+from tidemark.llm.simhash import _LOWER, SEED, links, majority
 from tidemark.operators.sort import stored
 from tidemark.shared import ensure_checkpoint_dir, fresh, shuffles_dropped
 
@@ -65,21 +71,24 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(low.reshape(BANDS, ROWS))]
 
 
-def _sketch(text: Column, words: int) -> Column:
-    """node: the set's hash; size: its size; keys: its bucket in each band. Signed longs."""
+def _sketch(text: Column, words: int, prints: bool = True) -> Column:
+    """node: the set's hash; size: its size; fp: its fingerprint; keys: its bucket in each band. Signed longs."""
 
-    @F.arrow_udf("struct<node:bigint,size:bigint,keys:array<bigint>>")
+    @F.arrow_udf("struct<node:bigint,size:bigint,fp:bigint,keys:array<bigint>>")
     def run(col: pa.Array) -> pa.Array:
+        lean()
         node = np.empty(len(col), np.uint64)
         size = np.empty(len(col), np.int64)
+        fp = np.empty(len(col), np.uint64)
         keys = np.empty((len(col), BANDS), np.uint64)
         for i, t in enumerate(col):
             h = shingles(t.as_py() or "", words)
             node[i] = xxhash.xxh64_intdigest(h.tobytes())
             size[i] = len(h)
+            fp[i] = majority(h) if prints else 0
             keys[i] = band_keys(h)
         ends = pa.array(np.arange(len(col) + 1, dtype=np.int32) * BANDS)
-        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(size), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))], names=["node", "size", "keys"])
+        return pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))], names=["node", "size", "fp", "keys"])
 
     return run(text)
 
@@ -169,6 +178,7 @@ def _links(members: DataFrame, texts: DataFrame, words: int, similarity: float)
     dealt = spread.join(texts, "node").select("key", "pair", "node", "packed").repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def run(batches):
+        lean()
         held, nodes, own = None, [], []
         out: list[tuple[int, int]] = []
         z = zstandard.ZstdDecompressor()
@@ -194,25 +204,40 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _parts(n: Column, size: Column) -> Column:
+    return F.least(n, F.ceil(size / BUCKET)).cast("bigint").alias("parts")
+
+
+def fingerprint_groups(nodes: DataFrame) -> DataFrame:
+    """(node, size, fp) -> (node, key, parts) of the components of fingerprints that hold two nodes or more."""
+    member = components(links(nodes.select("fp").distinct())).withColumnRenamed("node", "fp")
+    grouped = nodes.select("node", "size", "fp").join(member, "fp", "left").select("node", "size", F.coalesce("root", "fp").alias("key"))
+    large = grouped.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter("n > 1").select("key", _parts(F.col("n"), F.col("size")))
+    return grouped.drop("size").join(large, "key").select("node", "key", "parts")
+
+
+def near_groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, prints: bool = False) -> DataFrame:
     """(place, text), place a struct of id and row -> (row, keep) of all rows: the row that stands for its component of
     near copies, the one of the smallest place. A text's row must be the same number whenever the rows are read; rows of
-    equal texts may share one."""
+    equal texts may share one. ``prints``: by fingerprints first."""
     ensure_checkpoint_dir(rows.sparkSession)
     with shuffles_dropped(rows.sparkSession):
-        return _near_groups(rows, words, similarity)
+        return _near_groups(rows, words, similarity, prints)
 
 
-def _near_groups(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    prints = rows.select("place", _sketch(F.col("text"), words).alias("s")).select("place", "s.node", "s.size", "s.keys").checkpoint()
-    nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("size").alias("size"), F.first("keys").alias("keys")).checkpoint()
+def _near_groups(rows: DataFrame, words: int, similarity: float, by_prints: bool) -> DataFrame:
+    prints = rows.select("place", _sketch(F.col("text"), words, by_prints).alias("s")).select("place", "s.node", "s.size", "s.fp", "s.keys").checkpoint()
+    nodes = prints.groupBy("node").agg(F.min("place").alias("low"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).checkpoint()
 
     # Buckets are told apart by key alone (the band is in it), and those of the same members by number, sizes and a mark.
     entries = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.min("band").alias("band")).filter("n > 1")
     buckets = buckets.groupBy("n", "size", "x").agg(F.min(F.struct("band", "key")).alias("b"))
-    buckets = buckets.select("b.key", F.least(F.col("n"), F.ceil(F.col("size") / BUCKET)).cast("bigint").alias("parts")).checkpoint()
-    members = maybe(entries.drop("size"), "key", buckets).join(buckets, "key").checkpoint()
+    buckets = buckets.select("b.key", _parts(F.col("n"), F.col("size"))).checkpoint()
+    members = maybe(entries.drop("size"), "key", buckets).join(buckets, "key").select("node", "band", "key", "parts")
+    if by_prints:
+        members = members.unionAll(fingerprint_groups(nodes).select("node", F.lit(-1).alias("band"), "key", "parts"))
+    members = members.checkpoint()
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("low.row").alias("row")).checkpoint()
     # One text for each wanted row, also if rows with equal texts share a number (the join has put them together).
     texts = among(rows.select(F.col("place.row").alias("row"), "text"), wanted).select("row", _packed(F.col("text")).alias("packed"))
@@ -240,5 +265,5 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (row,) = fresh(docs, "__row")
     keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     rows = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("place"), F.col(text_col).alias("text"))
-    dropped = near_groups(rows, words, similarity).filter("row <> keep").select(F.col("row").alias(row))
+    dropped = near_groups(rows, words, similarity, prints=True).filter("row <> keep").select(F.col("row").alias(row))
     return keyed.join(dropped, row, "left_anti").select(*docs.columns)

@@ -49,6 +49,11 @@ def fingerprint(text: str, words: int = 3) -> int:
         h = [digest(b" ".join(w), SEED)]
     else:
         h = [digest(b" ".join(s), SEED) for s in zip(*(w[i:] for i in range(words)), strict=False)]
+    return majority(h)
+
+
+def majority(h) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits = np.unpackbits(np.array(h[i : i + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
